@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import OP7_SQL, op7_decontamination
 from .mixing import op10_mixing
+from .quality import op2_quality_classifier
 from .sharding import op4_feistel_sharding
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op7_decontamination": op7_decontamination,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": OP7_SQL,
+}
