@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,18 @@ def expand(df: DataFrame, copies: str) -> DataFrame:
     many = many.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (`{copies}` - 1) div {CHUNK})"))).repartition(F.col("chunk"), F.rand(7))
     many = many.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(`{copies}`, (chunk + 1) * {CHUNK}) - 1)")))
     return few.unionByName(many.drop("chunk"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application: they
+    need not have it installed, nor share the driver's working directory."""
+    context = spark.sparkContext
+    if getattr(context, "_lamina_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="lamina-")) / "lamina.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._lamina_shipped = True

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import ship_package, text_or_empty
 
 BITS = 20
 MAX_TRAIN = 6000
@@ -145,6 +145,7 @@ def margin(f: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> float:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """(quality, features) of at most max_train labelled documents that aren't held out."""
+    ship_package(docs.sparkSession)
     usable = labels.where("quality in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "quality")
@@ -172,6 +173,7 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[pd.Series],
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
     """docs with a score column, 0 to 1."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -5,15 +5,21 @@ from __future__ import annotations
 from .decontamination import OP7_SQL, op7_decontamination
 from .mixing import op10_mixing
 from .quality import op2_quality_classifier
+from .secrets import OP8_SQL, op8_blob_ledger
 from .sharding import op4_feistel_sharding
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_blob_ledger": op8_blob_ledger,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op7_decontamination": OP7_SQL,
+    "op8_blob_ledger": OP8_SQL,
 }
