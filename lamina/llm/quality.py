@@ -11,7 +11,7 @@ The classifier is fitted on at most ``max_train`` labelled rows (those with the
 smallest hash of their id, not the first ones); scoring reads every whole text.
 What reaches the driver is those rows' hashed features; what is broadcast is the
 weight vector of 2**BITS floats, whatever the input's size. Texts are worked on in
-pieces of at most PIECE bytes, so memory is bounded by the longest text's tokens.
+bounded pieces, so memory is bounded by the longest text's tokens.
 
 Defined results: null text counts as empty; an empty text gets the bias alone;
 labels that are null, contradictory or without a document are not used; without
@@ -29,51 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package, text_or_empty
+from .tokens import token_hashes
 
 BITS = 20
 MAX_TRAIN = 6000
-PIECE = 1 << 21
 
 THRICE = np.array([0x243F6A8885A308D3], dtype=np.uint64)
 _MUL = 0x9E3779B97F4A7C15
-_ODD = 0x100000001B3
-_INV = pow(_ODD, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_UP, _DOWN = _powers(_ODD, PIECE + 1), _powers(_INV, PIECE + 1)
-# 0: white space and controls, 1: letters and digits (bytes of other scripts included), 2: the rest.
-_CLASS = np.array([1 if chr(b).isalnum() and b < 128 or b >= 128 else 0 if b <= 32 or b == 127 else 2 for b in range(256)], dtype=np.uint8)
-
-
-def token_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of a text's tokens, in order. Tokens over PIECE bytes are cut."""
-    out = []
-    at = 0
-    while at < len(data):
-        end = at + PIECE
-        if end < len(data):
-            space = data.rfind(b" ", at, end)
-            end = space if space > at else end
-        a = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - at, offset=at)
-        kind = _CLASS[a]
-        edge = np.empty(len(a) + 1, dtype=bool)
-        edge[0] = edge[-1] = True
-        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
-        cuts = np.flatnonzero(edge)
-        starts, ends = cuts[:-1], cuts[1:]
-        keep = kind[starts] > 0
-        starts, ends = starts[keep], ends[keep]
-        sums = np.zeros(len(a) + 1, dtype=np.uint64)
-        np.cumsum((a.astype(np.uint64) + 1) * _UP[: len(a)], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * _DOWN[starts])
-        at = end
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def features(data: bytes, bits: int = BITS) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_decontamination
+from .extraction import op5_html_extraction
+from .jaccard import op6_jaccard_join
 from .mixing import op10_mixing
 from .quality import op2_quality_classifier
 from .secrets import OP8_SQL, op8_blob_ledger
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_blob_ledger": op8_blob_ledger,
     "op10_mixing": op10_mixing,
