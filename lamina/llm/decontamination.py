@@ -126,6 +126,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark."""
+    _, found, _ = hits(docs, benchmark, window)
+    keys = materialize(found.select(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).distinct(), "contaminated")
+    return docs.join(sized(keys), docs["doc_id"].eqNullSafe(F.col("l_id")) & (F.xxhash64(text_or_empty()) == F.col("l_digest")), "left_anti")
+
+
 def by_names(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
 

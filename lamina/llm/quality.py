@@ -145,6 +145,14 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
     return docs.withColumn(name, score(text_or_empty()))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs whose score is at least ``least``."""
+    name = "score_"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, train(docs, labels), name).where(F.col(name) >= least).drop(name)
+
+
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

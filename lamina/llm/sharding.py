@@ -76,6 +76,22 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 20_240_501)
     return shard_rows(slim, n_shards, seed)
 
 
+def shard_table(docs: DataFrame, n_shards: int = 40, seed: int = 20_240_501) -> DataFrame:
+    """docs with shard and slot. Positions are computed from digests; a row's columns are
+    shuffled once, and equal rows travel as one."""
+    names = docs.columns
+    text = text_or_empty()
+    key = ["k_id", "k_size", "k_crc", "k_row"]
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("k_id"), (F.octet_length(text) + 16).cast("bigint").alias("k_size"),
+        F.crc32(text.cast("binary")).alias("k_crc"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("k_row"),
+    )
+    places = shard_rows(keyed.select(*key), n_shards, seed)
+    rows = keyed.groupBy(*key).agg(F.first("row").alias("row"))
+    joined = rows.alias("r").join(places.alias("p"), F.expr(" and ".join(f"r.{k} <=> p.{k}" for k in key)))
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in names if c not in ("shard", "slot")), "shard", "slot")
+
+
 def op4_feistel_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
