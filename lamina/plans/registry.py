@@ -1,5 +1,5 @@
 """Named queries over the sample tables: name -> (callable, oracle SQL or None)."""
 
-from __future__ import annotations
+from .queries import QUERIES
 
-QUERIES: dict = {}
+__all__ = ["QUERIES"]
