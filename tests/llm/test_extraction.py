@@ -1,0 +1,52 @@
+import pytest
+
+from lamina.llm import extraction
+from lamina.llm.extraction import extract
+
+ARTICLE = "Some real text about a thing, that is long enough to be read by anyone who likes reading."
+FURNITURE = """<html><head><title>T</title><style>p{}</style></head><body>
+<header><a href=/>Home</a> Site name</header><nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav>
+<div class="cookie-notice">We use cookies on this site to make it much better for you all, always.</div>
+<div class="sidebar"><p>Most read: a long list of other things that you could also be reading right now</p></div>
+%s
+<div id="comments"><p>A reader says this at great length, going on and on, far longer than the text itself was.</p></div>
+<form><label>Search</label><input name=q></form><aside>Buy this now</aside><div class="ad">Advert of the day, a long one indeed</div>
+<script>var t = "</p><article>";</script><footer>&copy; Site, all rights reserved, since ever and for all time</footer></body></html>"""
+
+
+@pytest.mark.parametrize("main", [
+    f"<article><h1>Head line</h1><p>{ARTICLE}</p><p>Second &amp; last.</p></article>",
+    f"<main><h1>Head line</h1><div><p>{ARTICLE}</p><p>Second &amp; last.</p></div></main>",
+    f"<div class=content><h1>Head line</h1><p>{ARTICLE}<p>Second &amp; last.</div>",
+    f"<article><header><h1>Head line</h1></header><p>{ARTICLE}<p>Second &#38; last.<div class='share'>Share</div></article>",
+])
+def test_article_without_furniture(main):
+    assert extract(FURNITURE % main) == f"Head line {ARTICLE} Second & last."
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<b>b</b>c</p><p>d", "abc d"), ("<p>x<br>y", "x y"), ("<div><", "<"),
+    ("<p>1 < 2 &am &lt;b&gt; &#x41;", "1 < 2 &am <b> A"), ("<ul><li>a<li>b</ul>", "a b"), ("<table><tr><td>a<td>b</table>", "a b"), ("<!-- x --><p>a<!-- b -->c</p></p>", "ac"),
+    ("<p title='a>b'>q</p>", "q"), ("<p>a</q></div>b", "ab"), ("<article><p>x</p></article>", "x"), ("<SCRIPT>a</SCRIPT><P>b", "b"), ("<nav>only</nav>", ""), ("<p>a&nbsp;b", "a b"),
+])
+def test_small_pages(page, want):
+    assert extract(page) == want
+
+
+def test_deep_and_long_pages():
+    assert extract("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    body = "".join(f"<p>{ARTICLE} {i}</p>" for i in range(3000))
+    assert extract(f"<article>{body}</article>") == " ".join(f"{ARTICLE} {i}" for i in range(3000))
+
+
+def test_density_prefers_text_over_links():
+    page = "<div class=x>" + "<p><a href=/>linked words here</a></p>" * 40 + f"</div><div class=y><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"
+    assert extract(page) == f"{ARTICLE} {ARTICLE}"
+
+
+def test_table_of_pages(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as n_chars", "2 as block")
+    got = extraction.extract_pages(df).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
+    assert extraction.extract_pages(df.where("false")).collect() == []
