@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sized
 
-SMALL_BLOCK, LARGE_BLOCK = 64, 1024
+LARGE_BLOCK = 1024
 LINKED = "node bigint, root bigint, links bigint"
 
 
-def deal_blocks(members: DataFrame, key: str, count: str, node: str = "node") -> DataFrame:
+def deal_blocks(members: DataFrame, count: str, node: str = "node", small: int = 64, parts: int = 32) -> DataFrame:
     """members, each in all units that its block meets: unit columns bi <= bj, and
-    ``block``, its own. A block has SMALL_BLOCK to LARGE_BLOCK members, so that a group
-    makes hundreds of units before its blocks grow."""
-    size = f"greatest({SMALL_BLOCK}, least({LARGE_BLOCK}, int(ceil({count} / 32))))"
+    ``block``, its own. A block has ``small`` members, more if the group would make over
+    ``parts`` blocks, and LARGE_BLOCK at most."""
+    size = f"greatest({small}, least({LARGE_BLOCK}, int(ceil({count} / {parts}))))"
     m = members.withColumn("blocks", F.expr(f"int(greatest(1, ceil({count} / ({size}))))")).withColumn("block", F.expr(f"int(pmod(xxhash64({node}, 5), blocks))"))
     m = m.withColumn("unit", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> named_struct('bi', least(block, o), 'bj', greatest(block, o)))")))
     return m.withColumns({"bi": F.col("unit.bi"), "bj": F.col("unit.bj")}).drop("unit", "blocks")
@@ -67,7 +67,8 @@ def by_unit(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.Da
         got = work(group)
         return [] if got is None or not len(got) else [got]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given: small in bytes, but not in work
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def linked(nodes: np.ndarray, i: np.ndarray, j: np.ndarray, links: np.ndarray) -> pd.DataFrame | None:
