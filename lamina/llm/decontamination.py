@@ -130,7 +130,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """docs without the rows that hold a window of the benchmark."""
     _, found, _ = hits(docs, benchmark, window)
     keys = materialize(found.select(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).distinct(), "contaminated")
-    return docs.join(sized(keys), docs["doc_id"].eqNullSafe(F.col("l_id")) & (F.xxhash64(text_or_empty()) == F.col("l_digest")), "left_anti")
+    k = sized(keys)
+    return docs.join(k, docs["doc_id"].eqNullSafe(k["l_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == k["l_digest"]), "left_anti")
 
 
 def by_names(a: str, b: str) -> Column:
