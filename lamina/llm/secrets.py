@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, text_or_empty
+from .common import materialize, new_path, sized, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -110,8 +110,9 @@ def find_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     now = reduce(Column.__or__, ((F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules))
     per_blob = whole.where(now).where("size(spans) > 0").select("blob", F.expr("spans"), number[F.col("rule")].alias("k"))
     per_blob = per_blob.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("k").alias("k"), s["end"].alias("end")))))).alias("found"))
+    per_blob = materialize(per_blob, "findings")  # so that the join below is split where a blob is hot
     rows = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"))
-    return rows.join(per_blob, "blob", "left").select("doc_id", F.coalesce("found", F.expr("cast(array() as array<struct<start: bigint, k: int, end: bigint>>)")).alias("found"))
+    return rows.join(sized(per_blob), "blob", "left").select("doc_id", F.coalesce("found", F.expr("cast(array() as array<struct<start: bigint, k: int, end: bigint>>)")).alias("found"))
 
 
 def spans_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
