@@ -34,7 +34,7 @@ from .common import expand, materialize, sized, text_or_empty
 BLOCK_BITS = 12  # 4096 blocks a source
 MAX_EPOCHS = 3
 MIN_SHARDS = 32
-SHARD_WORDS = 1_000_000_000
+SHARD_WORDS = 100_000_000  # about a task's worth of text
 MAX_SOURCES = 100_000
 SEED = 20_240_510
 WORD = r"[^\x20\x09-\x0D]+"
