@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only when its counted rows are at most this many.
 BROADCAST_ROWS = 200_000
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Copies of one row are written out in chunks of this many.
 CHUNK = 10_000
 
@@ -68,6 +69,9 @@ def expand(df: DataFrame, copies: str) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application: they
     need not have it installed, nor share the driver's working directory."""
+    # Rows can be whole texts: fewer of them at once bound the workers' memory.
+    if spark.conf.get(BATCH_KEY) == "10000":  # the default; another value was chosen
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_lamina_shipped", False):
         return

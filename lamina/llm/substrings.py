@@ -32,15 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_package, text_or_empty
+from .common import materialize, ship_package, sized, text_or_empty
 from .tokens import _DOWN, _UP, PIECE, mix
 
 LENGTH = 200
 GRAM = 32
 DIGIT = 50
 HOT = 1000
-#: Tables of positions are broadcast up to this many texts and positions.
-BROADCAST_TEXTS, BROADCAST_ENTRIES = 250_000, 8_000_000
 
 KEY = "f1 bigint, f2 int"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,7 +127,8 @@ def _grams(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
 def _contexts(parts: Iterator[pd.DataFrame], length: int, hot: bool) -> Iterator[pd.DataFrame]:
     """Rows (f1, f2, key, first, lead, ctx) of the candidate anchors: the windows from
     text position ``first`` on, the first of which starts ``lead`` bytes before the anchor,
-    and the bytes they cover. Hot ones are cut into ranges that double."""
+    and the bytes they cover. Hot ones are cut into ranges that double, and those with equal
+    surroundings in one text are one row with an array ``firsts``."""
     for p in parts:
         f1, f2, wanted, seen = p["f1"].to_numpy(), p["f2"].to_numpy(), p["ordinals"].tolist(), {}
         for buf, text, offset, a, lo, hi, gram in anchors([bytes(t) for t in p["body"]], length):
@@ -149,10 +148,16 @@ def _contexts(parts: Iterator[pd.DataFrame], length: int, hot: bool) -> Iterator
                     out.append((text[ok], offset[ok], a[ok], x[ok], y[ok], mix(key[ok] * _GOLD + shared + np.uint64(j))))
                 text, offset, a, lo, hi, key = (np.concatenate(c) for c in zip(*out))
             data = buf.tobytes()
-            yield pd.DataFrame({
-                "f1": f1[text], "f2": f2[text], "key": key.view(np.int64), "first": lo + offset, "lead": (a - lo).astype(np.int32),
-                "ctx": [data[x : y + length] for x, y in zip(lo.tolist(), hi.tolist())],
-            })
+            ctx = [data[x : y + length] for x, y in zip(lo.tolist(), hi.tolist())]
+            key, first, lead = key.view(np.int64), lo + offset, (a - lo).astype(np.int32)
+            if not hot:
+                yield pd.DataFrame({"f1": f1[text], "f2": f2[text], "key": key, "first": first, "lead": lead, "ctx": ctx})
+                continue
+            same: dict[tuple, list[int]] = {}  # a text that repeats a line has the same surroundings again and again
+            for t, k, l, c, x in zip(text.tolist(), key.tolist(), lead.tolist(), ctx, first.tolist()):
+                same.setdefault((t, k, l, c), []).append(x)
+            t, k, l, c = (list(x) for x in zip(*same)) if same else ([], [], [], [])
+            yield pd.DataFrame({"f1": f1[t], "f2": f2[t], "key": k, "firsts": list(same.values()), "lead": l, "ctx": c})
 
 
 def repeated(key: np.ndarray, lead: np.ndarray, ctx: list[bytes], weight: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -231,11 +236,6 @@ def _hot_spans(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"key": g["key"].to_numpy()[r], "lead": g["lead"].to_numpy()[r], "c1": g["c1"].to_numpy()[r], "c2": g["c2"].to_numpy()[r], "a": a, "b": b + length})
 
 
-def _positions(df: DataFrame, entries: int) -> DataFrame:
-    """df (a written table of arrays per text), to be broadcast if it is small."""
-    return F.broadcast(df) if entries <= BROADCAST_ENTRIES and df.count() <= BROADCAST_TEXTS else df
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(texts of docs: doc_id, f1, f2, body, copies; spans by f1, f2: an array of
     (start, end), not merged, where the text's bytes are in a repeated string that also
@@ -245,34 +245,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     keyed = docs.select("doc_id", text.cast("binary").alias("body"), F.xxhash64(text).alias("f1"), F.hash(F.lit(17), text).alias("f2"))
     copies = keyed.where(F.octet_length("body") >= length).groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("low"), F.count(F.lit(1)).alias("copies"))
     copies = materialize(copies.where("copies > 1").select("f1", "f2", F.col("low.doc_id").alias("low"), "copies"), "copies")
-    small = _positions(copies, copies.count())
-    rows = keyed.join(small, ["f1", "f2"], "left")
+    rows = keyed.join(sized(copies), ["f1", "f2"], "left")
     # of equal texts, those with the smallest id stand for all; more of them do no harm
     one = rows.where("copies is null or doc_id <=> low").where(F.octet_length("body") >= length).select("f1", "f2", "body")
 
     grams = materialize(one.mapInPandas(lambda p: _grams(p, length), f"{KEY}, ordinal int, gram bigint"), "grams")
     twice = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("hot")), "repeated")
     found = materialize(grams.join(twice, "gram").groupBy("f1", "f2", "hot").agg(F.collect_list("ordinal").alias("ordinals")), "candidates")
-    total = found.groupBy("hot").agg(F.sum(F.size("ordinals")).alias("n")).collect()  # two rows
-    entries = {r.hot: r.n for r in total}
+    kinds = {r.hot for r in found.select("hot").distinct().collect()}  # two rows at most
 
+    # Texts are joined to their candidates, and later to their spans, with the smaller side
+    # hashed: the texts are shuffled, at every size, but not sorted.
     spans = []
-    if entries.get(False):
+    if False in kinds:
         plain = found.where("not hot").drop("hot")
-        c = one.join(_positions(plain, entries[False]), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, False), f"{KEY}, key bigint, first bigint, lead int, ctx binary")
-        spans.append(c.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _spans(p, length), f"{KEY}, start bigint, end bigint"))
-    if entries.get(True):
-        c = one.join(_positions(found.where("hot").drop("hot"), entries[True]), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, True), f"{KEY}, key bigint, first bigint, lead int, ctx binary")
+        c = one.join(plain.hint("shuffle_hash"), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, False), f"{KEY}, key bigint, first bigint, lead int, ctx binary")
+        spans.append(c.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _spans(p, length), f"{KEY}, start bigint, end bigint").select("f1", "f2", F.array(F.struct("start", "end")).alias("spans")))
+    if True in kinds:
+        c = one.join(found.where("hot").drop("hot").hint("shuffle_hash"), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, True), f"{KEY}, key bigint, firsts array<bigint>, lead int, ctx binary")
         c = materialize(c.withColumns({"c1": F.xxhash64("ctx"), "c2": F.hash(F.lit(3), "ctx")}), "hot")
-        distinct = c.groupBy("key", "lead", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.count(F.lit(1)).alias("n"))
+        distinct = c.groupBy("key", "lead", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.sum(F.size("firsts")).alias("n"))
         marks = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _hot_spans(p, length), "key bigint, lead int, c1 bigint, c2 int, a bigint, b bigint")
         marks = materialize(marks, "marks")
-        spans.append(c.drop("ctx").join(marks, ["key", "lead", "c1", "c2"]).select("f1", "f2", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end")))
+        at = F.transform("firsts", lambda x: F.struct((x + F.col("a")).alias("start"), (x + F.col("b")).alias("end")))
+        spans.append(c.drop("ctx").join(marks, ["key", "lead", "c1", "c2"]).select("f1", "f2", at.alias("spans")))
     if spans:
         out = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
     else:
-        out = docs.sparkSession.createDataFrame([], f"{KEY}, start bigint, end bigint")
-    return rows, materialize(out.groupBy("f1", "f2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+        out = docs.sparkSession.createDataFrame([], f"{KEY}, spans array<struct<start: bigint, end: bigint>>")
+    return rows, materialize(out.groupBy("f1", "f2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def _removed(n: int, copies: int | None, spans: list | None, length: int) -> list[tuple[int, int]]:
@@ -291,8 +292,7 @@ def _removed(n: int, copies: int | None, spans: list | None, length: int) -> lis
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     rows, spans = repeated_spans(docs, length)
-    entries = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    joined = rows.select("doc_id", "f1", "f2", "body", "copies").join(_positions(spans, entries), ["f1", "f2"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "body", F.coalesce("copies", F.lit(0)).alias("copies"), "spans")
+    joined = rows.select("doc_id", "f1", "f2", "body", "copies").join(spans.hint("shuffle_hash"), ["f1", "f2"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "body", F.coalesce("copies", F.lit(0)).alias("copies"), "spans")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
