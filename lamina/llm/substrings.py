@@ -311,3 +311,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op3_radix_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+b as (select rid, base, substr(h, 2 * base + 1, 1398) h from (select rid, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 500)) base from d) x),
+w as (select rid, base + j i, md5_number(substr(h, 2 * j + 1, 400)) k from (select rid, base, h, unnest(range(0, least(500, len(h) // 2 - 199))) j from b) x),
+k as (select k from w group by k having count(*) > 1),
+r as (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 200 then 0 else 1 end first from w semi join k using (k)),
+g as (select rid, i, sum(first) over (partition by rid order by i) run from r),
+s as (select rid, run, min(i) a, max(i) + 200 b from g group by rid, run),
+p as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) prior from s),
+o as (select p.rid, count(*) n, sum(b - a) gone, max(b) last, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' order by a) kept from p join d on p.rid = d.rid group by p.rid)
+select doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(gone, 0) as bigint) n_removed, cast(coalesce(n, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) kept_sha256
+from d left join o using (rid)
+"""
