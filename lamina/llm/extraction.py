@@ -59,7 +59,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute: its whole name, then a quoted or bare value.
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -80,8 +81,10 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
+    given: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of a repeated attribute the first counts
+    for name, value in given.items():
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in DROP_ROLES:
             return True
         if name in ("class", "id"):

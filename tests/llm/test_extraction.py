@@ -33,6 +33,14 @@ def test_small_pages(page, want):
     assert extract(page) == want
 
 
+@pytest.mark.parametrize("attrs, kept", [
+    ('style="overflow:hidden"', True), ('title="A hidden gem"', True), ("href=/hidden/x", True), ('data-hidden="false"', True), ('href="/p?id=ad"', True), ('data-id="nav"', True), ("title='class=\"ad\"'", True), ('aria-hidden="false"', True), ("class=a class=ad", True),
+    ("hidden", False), ('style="a" HIDDEN', False), ("id = 'ad'", False), ("title=x class=nav", False), ('title="a"class="ad"', False), ('aria-hidden="true"', False), ("role=banner/", True), ("role=banner", False),
+])
+def test_whole_attribute_names(attrs, kept):
+    assert extract(f"<article><p>Before.</p><p {attrs}>Text.</p></article>") == ("Before. Text." if kept else "Before.")
+
+
 def test_deep_and_long_pages():
     assert extract("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     body = "".join(f"<p>{ARTICLE} {i}</p>" for i in range(3000))
