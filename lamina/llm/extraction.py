@@ -8,10 +8,10 @@ characters per tag
 (C characters, LC those in links, nLC the others, T tags, LT link tags in the node;
 Cb and LCb of the body), and the sum of its children's densities. The node with the
 largest sum is the core of the article; the least density on its path to the body
-is the threshold. The result is the article or main element around the core or,
-without one, the core and those siblings along its path that have its path node's
-tag, reach the threshold and are not mostly links. Inside it, blocks under the
-threshold that are mostly links are left out.
+is the threshold. The result is the main element around the core, or the article
+around it with the page's other outermost articles that are not mostly links; without
+one, the whole page. Inside it, blocks under the threshold that are mostly links are
+left out, and without an article all blocks outside the core that are mostly links.
 
 Elements that are page furniture by their tag, role or class are cut before
 densities are computed, unless the article itself is inside.
@@ -192,8 +192,14 @@ def _measure(nodes: list[Node]) -> None:
             x.total = x.density
 
 
+def _link_heavy(x: Node) -> bool:
+    return x.links * 3 > x.chars * 2
+
+
 def _select(nodes: list[Node]) -> tuple[list[int], float]:
-    """Roots of the main text in page order, and the threshold."""
+    """Roots of the main text in page order, and the threshold. Without an article
+    or main element around the core, the root is the page, and blocks that are mostly
+    links are dropped outside the core."""
     live = [i for i, x in enumerate(nodes) if not x.drop and x.chars]
     if not live:
         return [], 0.0
@@ -205,15 +211,18 @@ def _select(nodes: list[Node]) -> tuple[list[int], float]:
     threshold = min(nodes[i].density for i in path)
     around = [i for i in path if nodes[i].tag in ("article", "main")]
     if around:
-        return [around[-1]], threshold
-    roots = [core]
-    for i, up in zip(path, path[1:]):
-        for c in nodes[up].parts:
-            if isinstance(c, int) and c != i:
-                x = nodes[c]
-                if not x.drop and x.tag == nodes[i].tag and x.chars and x.density >= threshold and x.links * 3 < x.chars:
-                    roots.append(c)
-    return sorted(roots), threshold
+        top = around[-1]
+        if nodes[top].tag == "main":
+            return [top], threshold
+        outer = (i for i in live if nodes[i].tag in ("article", "main") and not nodes[nodes[i].parent].article)
+        return [i for i in outer if i == top or not _link_heavy(nodes[i])], threshold
+    end = core + 1  # the nodes in the core follow it
+    while end < len(nodes) and nodes[end].parent >= core:
+        end += 1
+    for i in set(live).difference(path, range(core, end)):
+        x = nodes[i]
+        x.drop = x.tag in BLOCK and _link_heavy(x)
+    return [0], threshold
 
 
 def extract(page: str | None) -> str:
@@ -234,7 +243,7 @@ def extract(page: str | None) -> str:
                 continue
             x = nodes[i]
             block = x.tag in BLOCK
-            if x.drop or block and i != root and x.chars and x.density < threshold and x.links * 3 > x.chars * 2:
+            if x.drop or block and i != root and x.chars and x.density < threshold and _link_heavy(x):
                 out.append(" ")
                 continue
             todo += [" "] * block + x.parts[::-1] + [" "] * block

@@ -52,6 +52,22 @@ def test_density_prefers_text_over_links():
     assert extract(page) == f"{ARTICLE} {ARTICLE}"
 
 
+def test_sections_of_a_page_without_article():
+    core = [f"Part {i} of the longest section. " + ARTICLE * 3 for i in range(5)]
+    blocks = ["<h1>A heading of the whole page</h1>", f"<p>{ARTICLE}</p>", "<div>" + "".join(f"<p>{c}</p>" for c in core) + "</div>", "<h2>Short</h2>", "<p>Yes.</p>", "<ul><li>one</li><li>two</li></ul>", "<blockquote>Said so.</blockquote>", "<table><tr><td>1</td><td>2</td></tr></table>", "<div><h3>Last</h3><p>End.</p></div>"]
+    want = f"A heading of the whole page {ARTICLE} {' '.join(core)} Short Yes. one two Said so. 1 2 Last End."
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>another page {i}</a></li>" for i in range(30)) + "</ul></div>"
+    assert extract(f"<body><div>{''.join(blocks)}</div></body>") == want
+    assert extract(f"<body>{links}<div>{''.join(blocks)}{links}</div>{links}</body>") == want
+    assert extract("<body>" + "".join(f"<div><div>{b}</div></div>" for b in blocks) + "</body>") == want
+
+
+def test_several_articles():
+    texts = [f"Number {i}. " + ARTICLE * (9 if i == 1 else 1) for i in range(4)]
+    page = "<body><div>" + "".join(f"<article><h2>Title {i}</h2><p>{t}</p><p>{t}</p></article>" for i, t in enumerate(texts)) + "<article><a href=/>Only a link to another page</a></article></div></body>"
+    assert extract(page) == " ".join(f"Title {i} {t} {t}" for i, t in enumerate(texts))
+
+
 def test_table_of_pages(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as n_chars", "2 as block")
