@@ -13,8 +13,9 @@ around it with the page's other outermost articles that are not mostly links; wi
 one, the whole page. Inside it, blocks under the threshold that are mostly links are
 left out, and without an article all blocks outside the core that are mostly links.
 
-Elements that are page furniture by their tag, role or class are cut before
-densities are computed, unless the article itself is inside.
+Elements that are page furniture by their tag, role, class or id are cut before
+densities are computed, unless the article itself is inside or, of those marked by
+a class or id alone, it is the one that holds most of the text that is left.
 
 A page is worked on alone, so memory is bounded by the largest page. Defined
 results: null or empty html, and pages without main text, give an empty text;
@@ -54,6 +55,14 @@ DROP_WORDS = frozenset(
     "share sharing social related recommended recommendations widget pagination pager toolbar masthead login search skip".split()
 )
 TOP_WORDS = frozenset({"header"})
+#: Of these, words of elements that are hardly ever around the main text.
+APART_WORDS = frozenset(
+    "advert adverts advertisement advertising cookie cookies consent gdpr popup modal newsletter subscribe subscription signup promo promotion sponsor sponsored "
+    "comment comments commentlist disqus respond replies reply".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How an element is furniture: by a word, by one of APART_WORDS, or by tag, role or attribute.
+AREA, APART, FIXED = 1, 2, 3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
@@ -61,42 +70,47 @@ _TAG = re.compile(
 )
 #: One attribute: its whole name, then a quoted or bare value.
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?""")
+#: A class that says what else the page has or lacks, not what the element is.
+_STATE = re.compile(r"(?<!\S)(?:no|not|non|with|without|has|hide|show)[-_]\S*|\S+[-_](?:open|opened|closed|enabled|disabled|visible)(?!\S)", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
     __slots__ = ("tag", "parent", "drop", "article", "parts", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: int, drop: bool, article: bool):
+    def __init__(self, tag: str, parent: int, drop: int, article: bool):
         self.tag, self.parent, self.drop, self.article = tag, parent, drop, article
         self.parts: list = []  # texts, and numbers of child nodes, in page order
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """0, or AREA, APART or FIXED."""
     if tag in DROP_TAGS:
-        return True
+        return FIXED
     if tag == "header" and not in_article:
-        return True
+        return FIXED
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
     given: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
         given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of a repeated attribute the first counts
+    out = 0
     for name, value in given.items():
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in DROP_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
+            return FIXED
+        # the id of a heading or of a section of the article comes from its words
+        if name == "class" or name == "id" and not (tag in HEADINGS or tag == "section" and in_article):
+            words = {w.lower() for w in _WORD.findall(_STATE.sub(" ", value))}
             if words & DROP_WORDS or not in_article and words & TOP_WORDS:
-                return True
-    return False
+                out = max(out, APART if words & APART_WORDS else AREA)
+    return out
 
 
 def parse(page: str) -> list[Node]:
     """The page's nodes in document order; parents come before their children."""
-    nodes = [Node("", -1, False, False)]
+    nodes = [Node("", -1, 0, False)]
     open_, at, n = [0], 0, len(page)
 
     def text(s: str) -> None:
@@ -150,6 +164,28 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _spare(nodes: list[Node]) -> None:
+    """Unmark the element that is furniture by its words alone but holds most of the
+    text that is left, and those around it. Where there is an article, only text inside
+    counts. Elements of APART_WORDS are spared only where no other text is left."""
+    articles = any(x.tag in ("article", "main") and not x.drop for x in nodes)
+    mark = [0] * len(nodes)  # the innermost marked element around, -1 in fixed furniture
+    own: dict[int, int] = {0: 0}
+    for i, x in enumerate(nodes):
+        up = mark[x.parent] if i else 0
+        mark[i] = -1 if up < 0 or x.drop == FIXED else i if x.drop else up
+        if mark[i] >= 0 and (x.article or not articles):
+            own[mark[i]] = own.get(mark[i], 0) + sum(len(p.strip()) for p in x.parts if isinstance(p, str))
+    plain = own.pop(0)
+    for kind in (AREA, APART):
+        best = max((k for k in own if nodes[k].drop == kind), key=lambda k: (own[k], -k), default=0)
+        if best and own[best] > plain and (kind == AREA or not plain):
+            while best > 0:
+                nodes[best].drop = 0
+                best = nodes[best].parent
+            return
+
+
 def _cut(nodes: list[Node]) -> None:
     """Furniture that holds the article stays; what is inside the rest goes."""
     holds = [False] * len(nodes)
@@ -157,9 +193,13 @@ def _cut(nodes: list[Node]) -> None:
         x = nodes[i]
         if holds[i] or x.tag in ("article", "main") and not x.drop:
             holds[i] = holds[x.parent] = True
-    for i, x in enumerate(nodes[1:], 1):
-        own = x.drop and not (holds[i] and x.tag not in ("article", "main"))
-        x.drop = own or nodes[x.parent].drop
+    for i, x in enumerate(nodes):
+        if holds[i] and x.tag not in ("article", "main"):
+            x.drop = 0
+    if any(x.drop in (AREA, APART) for x in nodes):
+        _spare(nodes)
+    for x in nodes[1:]:
+        x.drop = bool(x.drop or nodes[x.parent].drop)
 
 
 def _measure(nodes: list[Node]) -> None:

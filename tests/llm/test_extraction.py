@@ -68,6 +68,36 @@ def test_several_articles():
     assert extract(page) == " ".join(f"Title {i} {t} {t}" for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("wrapper", ['class="content no-sidebar"', 'id=page class="with-nav"', 'class="layout sidebar-right"', 'id="search-page"', 'class="post comments-open"'])
+def test_marked_wrapper_of_the_text(wrapper):
+    inside = f'<div class="sidebar">Most read</div><h1>Head line</h1><p>{ARTICLE}</p><p>{ARTICLE}</p>'
+    page = f'<body><div class="nav"><a href=/>Home</a></div>%s<div class="footer">All rights reserved</div></body>'
+    want = f"Head line {ARTICLE} {ARTICLE}"
+    assert extract(page % f"<div {wrapper}>{inside}</div>") == want
+    assert extract(page % f'<div class="banner-layout"><div {wrapper}>{inside}</div></div>') == want
+    assert extract(page % f"<article><div {wrapper}>{inside}</div></article>") == want
+    assert extract(page % f"<article {wrapper}>{inside}</article>") == want
+
+
+def test_long_comments_are_not_the_text():
+    thread = f'<div id="comments">{"<p>Said at length by a reader.</p>" * 50}</div>'
+    for tag in ("div", "article"):
+        assert extract(f"<body><{tag}><h1>Head line</h1><p>{ARTICLE}</p>{thread}</{tag}></body>") == f"Head line {ARTICLE}"
+        assert extract(f"<body><{tag}><h1>Head line</h1><p>{ARTICLE}</p></{tag}>{thread}</body>") == f"Head line {ARTICLE}"
+
+
+def test_text_of_a_page_that_is_all_comments():
+    assert extract(f'<body><nav>Site</nav><div class="post comment"><p>{ARTICLE}</p></div></body>') == ARTICLE
+
+
+def test_ids_of_headings_and_sections():
+    parts = f'<h1>Head line</h1><p>{ARTICLE}</p><h2 id="advertising">Advertising</h2><p>{ARTICLE}</p><h2 id=search>Search</h2><p>{ARTICLE}</p>'
+    section = f'<section id="related-work"><h2>Related work</h2><p>{ARTICLE}</p></section><section class="related">More</section>'
+    want = f"Head line {ARTICLE} Advertising {ARTICLE} Search {ARTICLE}"
+    assert extract(f"<article>{parts}{section}</article>") == f"{want} Related work {ARTICLE}"
+    assert extract(f"<body><div>{parts}</div></body>") == want
+
+
 def test_table_of_pages(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as n_chars", "2 as block")
