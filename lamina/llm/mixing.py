@@ -9,8 +9,12 @@ multivariate hypergeometric distribution, which keeps every source's total exact
 and every shard's number of blocks fixed. Each shard then draws its disjoint blocks
 from the source's permuted draws, and its rows are shuffled locally by a keyed hash.
 
-What reaches the driver is one row per source (at most MAX_SOURCES) and what goes
-back is one quota row per source; blocks and documents stay distributed. A hot
+What reaches the driver is one row per source and what goes back is one quota row per
+source; blocks and documents stay distributed. Beyond MAX_SOURCES sources, targets and
+quotas stay distributed too: the water level is found by sums over the sources, and
+the tree splits the quotas of POOLS pools, to which sources are dealt by a hash. A
+pool's draws in permuted order go to its shards, which for each source in it is again
+a draw from the multivariate hypergeometric distribution. A hot
 source is spread over its 2**BLOCK_BITS blocks, and block sums are combined before the
 shuffle.
 
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.position import rank_rows
 from .common import expand, materialize, sized, text_or_empty
 
 BLOCK_BITS = 12  # 4096 blocks a source
@@ -36,6 +41,7 @@ MAX_EPOCHS = 3
 MIN_SHARDS = 32
 SHARD_WORDS = 100_000_000  # about a task's worth of text
 MAX_SOURCES = 100_000
+POOLS = 4096
 SEED = 20_240_510
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +65,28 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) ->
     return out
 
 
+def quotas_of_many(sources: DataFrame, weights: tuple[float, ...], seed: int) -> DataFrame:
+    """The quota rows of ``sources`` (a written table of sk, source and size s) by the
+    rule of ``targets``, of which only sums reach the driver. Each round raises the
+    water level by what the sources that it caps can't take."""
+    ranked = rank_rows(sources.select("sk", "s", "source", F.col("source").isNull().alias("none")), [("none", True), ("source", True)])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = materialize(ranked.select("sk", "s", weight.alias("w")), "weights")
+    sums = (F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    every = weighed.agg(*sums).first()
+    level, capped = every.s / every.w, 0
+    while True:
+        wanted = F.lit(level) * F.col("w")
+        over = weighed.where(wanted > MAX_EPOCHS * F.col("s")).agg(*sums).first()
+        if over.n <= capped:
+            break
+        level, capped = (every.s - MAX_EPOCHS * over.s) / (every.w - over.w), over.n
+    pool = F.pmod(F.xxhash64("sk", F.lit(seed + 2)), F.lit(POOLS)).cast("string")
+    quota = weighed.select("sk", pool.alias("pool"), F.col("s").alias("source_size"), F.least(wanted, (MAX_EPOCHS * F.col("s")).cast("double")).alias("target"))
+    quota = quota.withColumn("epochs", F.expr("if(source_size = 0, 0, int(floor(target / source_size)))"))
+    return materialize(quota.withColumn("rest", F.expr("target - epochs * source_size")), "quota")
+
+
 def split_tree(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Block draws per source (rows) and shard (columns). Rows add up to the quotas,
     columns are at most one apart; every node of the tree has a generator of its own,
@@ -96,27 +124,31 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int
 
     per_source = blocks.groupBy("sk", "source").agg(F.sum("words").alias("s"), F.count(F.lit(1)).alias("n"))
     if per_source.count() > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    rows = sorted(per_source.collect(), key=lambda r: (r.source is None, r.source or ""))
-    size = [r.s for r in rows]
-    want = targets(size, [weights[i % len(weights)] for i in range(len(rows))])
-    whole = [math.floor(t / s) if s else 0 for t, s in zip(want, size)]
-    quota = spark.createDataFrame(
-        [(r.sk, r.s, t, k, t - k * r.s) for r, t, k in zip(rows, want, whole)],
-        "sk string, source_size bigint, target double, epochs int, rest double",
-    )
+        quota, pools = quotas_of_many(materialize(per_source, "sources"), weights, seed), None
+        total = quota.agg(F.sum("target")).first()[0]
+    else:
+        rows = sorted(per_source.collect(), key=lambda r: (r.source is None, r.source or ""))
+        size = [r.s for r in rows]
+        want = targets(size, [weights[i % len(weights)] for i in range(len(rows))])
+        whole = [math.floor(t / s) if s else 0 for t, s in zip(want, size)]
+        quota = F.broadcast(spark.createDataFrame(
+            [(r.sk, r.sk, r.s, t, k, t - k * r.s) for r, t, k in zip(rows, want, whole)],
+            "sk string, pool string, source_size bigint, target double, epochs int, rest double",
+        ))
+        pools, total = [r.sk for r in rows], sum(want)
 
     order = Window.partitionBy("sk").orderBy(F.xxhash64("sk", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
-    parts = blocks.join(F.broadcast(quota), "sk").withColumn("need", F.col("rest") - (F.sum("words").over(order) - F.col("words")))
+    parts = blocks.join(quota, "sk").withColumn("need", F.col("rest") - (F.sum("words").over(order) - F.col("words")))
     parts = materialize(parts.withColumn("drawn", F.col("epochs") + (F.col("need") > 0).cast("int")), "parts")
 
-    counted = {r.sk: r.q for r in parts.groupBy("sk").agg(F.sum("drawn").alias("q")).collect()}
-    n_shards = max(MIN_SHARDS, math.ceil(sum(want) / SHARD_WORDS))
-    split = split_tree([counted[r.sk] for r in rows], n_shards, seed)
-    ends = spark.createDataFrame([(r.sk, [int(x) for x in np.cumsum(split[i])]) for i, r in enumerate(rows)], "sk string, ends array<bigint>")
-    draws = parts.where("drawn > 0").select("sk", "block", F.explode(F.expr("sequence(0, drawn - 1)")).alias("epoch"))
-    number = Window.partitionBy("sk").orderBy(F.xxhash64("sk", "block", "epoch", F.lit(seed + 1)), "block", "epoch")
-    draws = draws.withColumn("draw", F.row_number().over(number) - 1).join(F.broadcast(ends), "sk")
+    counted = {r.pool: r.q for r in parts.groupBy("pool").agg(F.sum("drawn").alias("q")).collect()}
+    pools = sorted(counted) if pools is None else pools
+    n_shards = max(MIN_SHARDS, math.ceil(total / SHARD_WORDS))
+    split = split_tree([counted[p] for p in pools], n_shards, seed)
+    ends = spark.createDataFrame([(p, [int(x) for x in np.cumsum(split[i])]) for i, p in enumerate(pools)], "pool string, ends array<bigint>")
+    draws = parts.where("drawn > 0").select("pool", "sk", "block", F.explode(F.expr("sequence(0, drawn - 1)")).alias("epoch"))
+    number = Window.partitionBy("pool").orderBy(F.xxhash64("sk", "block", "epoch", F.lit(seed + 1)), "block", "epoch", "sk")
+    draws = draws.withColumn("draw", F.row_number().over(number) - 1).join(F.broadcast(ends), "pool")
     placed = draws.select("sk", "block", F.struct("epoch", F.expr("size(filter(ends, e -> e <= draw))").alias("shard")).alias("at")).groupBy("sk", "block").agg(F.array_sort(F.collect_list("at")).alias("placements"))
     parts = materialize(parts.join(placed, ["sk", "block"], "left").select("sk", "block", "words", "need", "source_size", "target", "epochs", "placements"), "placed")
 

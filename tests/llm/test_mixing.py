@@ -72,3 +72,19 @@ def test_one_hot_row_and_empty_table(make):
     assert len(got) == 51 and abs(sum(r.taken for r in got if r.doc_id == 1) - [r.target for r in got if r.doc_id == 1][0]) <= 3
     assert mixing.taken_by_row(mixing.plan_mix(make([]))).collect() == []
     assert mixing.mixed_rows(make([]), mixing.plan_mix(make([]))).collect() == []
+
+
+def test_more_sources_than_the_driver_holds(make, text, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, text(rng, rng.randint(1, 60) if i % 9 else 900), rng.choice([None, "é", *(f"s{k}" for k in range(120))])) for i in range(900)]
+    data += [(1000, None, "no words"), (1, data[1][1], data[1][2])]
+    docs = make(data, extra=True)
+    key = lambda r: (r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, r.n_takes)
+    few = sorted(map(key, mixing.taken_by_row(mixing.plan_mix(docs)).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)
+    plan = mixing.plan_mix(docs)
+    assert sorted(map(key, mixing.taken_by_row(plan).collect())) == few and any(abs(t - 3 * s) < 1e-3 for _, _, s, t, _, _ in few if s)
+    assert mixing.mixed_rows(docs, plan).count() == sum(k[-1] for k in few)
+    again = mixing.plan_mix(docs.repartition(5))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, plan.collect()))
+    assert len({at.shard for r in plan.collect() for at in r.placements or ()}) > 20
