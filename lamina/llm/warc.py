@@ -1,7 +1,8 @@
 """Dictionary-compressed WARC archives.
 
 Each partition becomes one archive: a Zstandard dictionary is trained on the
-records that the archive starts with (at most SAMPLE_BYTES of them), embedded in a
+records that the archive starts with (SAMPLE_BYTES of them, SAMPLE_RECORD of each at
+most, so from eight records at least if it has them), embedded in a
 leading skippable frame (magic 0x184D2A5D), and every record is compressed alone
 with it, so any record can be read by its offset. Spark's own writer commits the
 files, on any file system that Spark knows and with its task-attempt protocol: the
@@ -16,8 +17,8 @@ counted rows allow it, so a hot payload lands in no single task.
 Defined results: null html is an empty payload; a null page_id is kept, ranks after
 all others and is written without an id; rows that repeat both the smallest page_id
 and its payload are all responses; a null url is left out of the record; an empty
-table gives archives without records. An archive of too few or too small records
-has no dictionary frame.
+table gives archives without records. An archive of under eight records or 8 KB, or
+on whose records training fails, has no dictionary frame.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import materialize, new_path, ship_package, sized
 
 DICT_BYTES = 1 << 16
 SAMPLE_BYTES = 1 << 22
+SAMPLE_RECORD = SAMPLE_BYTES // 8
+SEGMENT = 1024
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # archives don't depend on when they are written
 #: An empty skippable frame, as the text writer's line separator: all its bytes are ASCII.
@@ -98,10 +101,13 @@ def parse(data: bytes) -> tuple:
 
 
 def train_dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict | None:
-    if len(records) < 8 or sum(map(len, records)) < 8 * DICT_BYTES:
+    """A dictionary of at most an eighth of the records' bytes that it is trained on."""
+    cut = [r[:SAMPLE_RECORD] for r in records]
+    size = min(DICT_BYTES, sum(map(len, cut)) // 8)
+    if len(cut) < 8 or size < SEGMENT:
         return None
     try:
-        return zstd.train_dictionary(DICT_BYTES, records, k=1024, d=8)
+        return zstd.train_dictionary(size, cut, k=SEGMENT, d=8)
     except zstd.ZstdError:
         return None
 
@@ -111,7 +117,7 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
     first, size = [], 0
     for r in records:
         first.append(r)
-        size += len(r)
+        size += min(len(r), SAMPLE_RECORD)
         if size >= SAMPLE_BYTES:
             break
     trained = train_dictionary(first)

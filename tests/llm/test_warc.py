@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import struct
 
 import pytest
@@ -50,6 +51,15 @@ def test_dictionary_leads_the_archive():
     assert list(warc.records(joined)) == data
 
 
+@pytest.mark.parametrize("long, short", [(5, 2000), (12, 0), (0, 40), (1, 7)])
+def test_dictionary_of_long_or_few_records(long, short):
+    rng = random.Random(3)
+    data = [" ".join(f"word{rng.randrange(3000)}" for _ in range(n)).encode() for n in [200_000] * long + [400] * short]
+    frames = list(warc.frames(iter(data)))
+    assert struct.unpack_from("<I", frames[0])[0] == warc.DICT_MAGIC and len(frames) == len(data) + 1
+    assert list(warc.records(warc.SEPARATOR.encode().join(frames))) == data
+
+
 def test_damage_is_found():
     frame = b"".join(warc.frames(iter([b"one record"])))
     with pytest.raises(ValueError, match="no frame"):
