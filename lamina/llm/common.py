@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only when its counted rows are at most this many.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only when its measured values take at most this many bytes.
+BROADCAST_BYTES = 16 << 20
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Copies of one row are written out in chunks of this many.
 CHUNK = 10_000
@@ -20,10 +22,13 @@ CHUNK = 10_000
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Only where that setting is absent on a local master (tests) a temporary folder is
+    used: the executors of a cluster would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_lamina_dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="lamina-")
@@ -43,10 +48,29 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df when it has at most ``rows`` rows, else leave the join to
-    Spark. df should be a written table, so that counting reads footers only."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(col: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.coalesce(F.aggregate(col, F.lit(0).cast("bigint"), lambda n, x: n + _width(x, kind.elementType)), F.lit(0)) + 16
+        return F.coalesce(F.size(col), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, (_width(col[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that df's values take in memory, about: counted, not estimated from files."""
+    row = reduce(Column.__add__, (_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast df when its values take at most ``most`` bytes, else leave the join to
+    Spark. df should be a written table, so that measuring it reads columns only."""
+    return F.broadcast(df) if measured_bytes(df) <= most else df
 
 
 def text_or_empty(col: str = "text") -> Column:

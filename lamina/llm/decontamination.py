@@ -31,9 +31,6 @@ from .common import materialize, sized, text_or_empty
 
 WINDOW = 10
 SHINGLE = 3
-#: Shingles are single longs, so more of them fit than of wide rows.
-BROADCAST_SHINGLES = 1_000_000
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,7 +61,7 @@ def scan(docs: DataFrame, shingles: DataFrame, kinds: list[int]) -> DataFrame:
     every = [f"if(n_words = 0, array(), transform(sequence(0, n_words - 1), i -> {_shingle(k, 'w', 'i')}))" for k in kinds]
     d = d.select("doc_id", "digest", "n_words", F.posexplode(F.expr(f"concat(array(0L), {', '.join(every)})" if every else "array(0L)")).alias("pos", "shingle"))
     d = d.withColumn("shingle", F.expr("if(pos = 0, null, shingle)"))
-    found = d.join(sized(shingles, BROADCAST_SHINGLES), "shingle", "left").where("pos = 0 or known")
+    found = d.join(sized(shingles), "shingle", "left").where("pos = 0 or known")
     return found.select("doc_id", "digest", "n_words", F.expr("if(pos = 0, -1, (pos - 1) % n_words)").alias("at"), "shingle")
 
 

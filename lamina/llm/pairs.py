@@ -1,10 +1,9 @@
-"""Pairs inside groups without emitting them: blocks, spanning edges, components.
+"""Pairs inside groups without emitting them: units, spanning edges, components.
 
-A group of members is cut into blocks, and each pair of blocks is one small unit of
-work, so that a hot group is spread over many tasks and none of them, nor the
-driver, holds it whole. A unit compares its members in numpy and returns one row per
-linked member: its number of links there, and the root of a spanning tree. Pairs
-themselves never leave a unit.
+A unit is a bounded number of members of a group, so that a hot group is spread over
+many tasks and none of them, nor the driver, holds it whole. A unit compares its members
+in numpy and returns one row per linked member: its number of links there, and the root
+of a spanning tree. Pairs themselves never leave a unit.
 """
 
 from __future__ import annotations
@@ -18,20 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sized
 
-LARGE_BLOCK = 1024
 LINKED = "node bigint, root bigint, links bigint"
 
 
-def deal_blocks(members: DataFrame, count: str, node: str = "node", small: int = 64, parts: int = 32) -> DataFrame:
-    """members, each in all units that its block meets: unit columns bi <= bj, and
-    ``block``, its own. A block has ``small`` members, more if the group would make over
-    ``parts`` blocks, and LARGE_BLOCK at most."""
-    size = f"greatest({small}, least({LARGE_BLOCK}, int(ceil({count} / {parts}))))"
-    m = members.withColumn("blocks", F.expr(f"int(greatest(1, ceil({count} / ({size}))))")).withColumn("block", F.expr(f"int(pmod(xxhash64({node}, 5), blocks))"))
-    m = m.withColumn("unit", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> named_struct('bi', least(block, o), 'bj', greatest(block, o)))")))
-    return m.withColumns({"bi": F.col("unit.bi"), "bj": F.col("unit.bj")}).drop("unit", "blocks")
-
-
 def by_unit(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str = LINKED) -> DataFrame:
     """Apply work to each group of keys. Groups are streamed from sorted partitions:
     memory is bounded by a unit and an Arrow batch, and small groups cost little."""
