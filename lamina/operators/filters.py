@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.compare import ALIASES
@@ -40,9 +40,10 @@ class Filter:
     def select(self, df: DataFrame, col: str, kind: str = "mask", pos: str = "pos", start_position: int = 0) -> Selection:
         """The selection of df's rows; positions are shifted by start_position."""
         at = (F.col(pos) + start_position).alias("pos") if start_position else F.col(pos).alias("pos")
+        known = (None, None) if start_position else (df, F.coalesce(self.predicate(col), F.lit(False)))
         if kind == "mask":
-            return Selection("mask", df.select(at, F.coalesce(self.predicate(col), F.lit(False)).alias("sel")))
-        positions = Selection("positions", self.rows(df, col).select(at))
+            return Selection("mask", df.select(at, F.coalesce(self.predicate(col), F.lit(False)).alias("sel")), *known)
+        positions = Selection("positions", self.rows(df, col).select(at), *known)
         if kind == "bitmap":
             return positions.to_bitmap()
         if kind != "positions":
@@ -53,3 +54,11 @@ class Filter:
         """(selection, one row n): the count comes from the comparison itself, not from
         the encoded result."""
         return self.select(df, col, kind, pos), df.agg(F.count_if(self.predicate(col)).alias("n"))
+
+    def select_observed(self, df: DataFrame, col: str, kind: str = "mask", pos: str = "pos") -> tuple[Selection, Observation]:
+        """(selection, observation): one pass gives both. The observation holds n, the
+        number of selected rows, once an action has run over the selection (one that reads
+        it once: a global sort samples its input first, and counts it twice)."""
+        count = Observation()
+        observed = df.observe(count, F.count_if(self.predicate(col)).alias("n"))
+        return self.select(observed, col, kind, pos), count

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.position import rank_rows
+from .selection import Selection, chosen
 
 
-def group_ids(df: DataFrame, key: str, pos: str = "pos", sel: Column | None = None, preserve_positions: bool = True) -> DataFrame:
-    """(key, first_pos, gid) of the selected rows. A null key is a group. Without
-    preserve_positions, rows are numbered among the selected ones."""
-    rows = df if sel is None else df.where(sel)
+def group_ids(df: DataFrame, key: str, pos: str = "pos", sel: Column | Selection | None = None, preserve_positions: bool = True) -> DataFrame:
+    """(key, first_pos, gid) of the rows that sel, a predicate or a selection, selects. A
+    null key is a group. Without preserve_positions, rows are numbered among the selected ones."""
+    rows = chosen(df, sel, pos)
     rows = rows.select(F.col(key), F.col(pos).alias("pos"))
     if not preserve_positions:
         rows = rank_rows(rows, [("pos", True)], "renumbered").select(key, F.col("renumbered").alias("pos"))
@@ -26,9 +27,14 @@ def group_ids(df: DataFrame, key: str, pos: str = "pos", sel: Column | None = No
     return rank_rows(groups, [("first_pos", True)], "gid").select(key, "first_pos", "gid")
 
 
-def lookup_gids(df: DataFrame, groups: DataFrame, key: str, pos: str = "pos", sel: Column | None = None) -> DataFrame:
+def lookup_gids(df: DataFrame, groups: DataFrame, key: str, pos: str = "pos", sel: Column | Selection | None = None) -> DataFrame:
     """(pos, gid) of every row; a key that no group has gives no row. With sel, rows
     that aren't selected have a null gid."""
+    if isinstance(sel, Selection) and not sel.of(df):
+        marked = sel.to_positions().df.select(F.col("pos").alias("pos_")).distinct()
+        df, sel = df.join(marked, F.col(pos) == F.col("pos_"), "left"), F.col("pos_").isNotNull()
+    elif isinstance(sel, Selection):
+        sel = sel.predicate
     g = groups.select(F.col(key).alias("group_key"), "gid")
     joined = df.join(g, F.col(key).eqNullSafe(F.col("group_key")))
     gid = F.col("gid") if sel is None else F.when(sel, F.col("gid"))
@@ -47,11 +53,10 @@ def representatives(df: DataFrame, groups: DataFrame, key: str, pos: str = "pos"
     return df.join(g, F.col(key).eqNullSafe(F.col("group_key"))).select(F.col(pos).alias("pos"), F.col(key), "rep")
 
 
-def group_sum(df: DataFrame, key: str, value: str, sel: Column | None = None, as_type: str | None = None, out: str = "sum") -> DataFrame:
+def group_sum(df: DataFrame, key: str, value: str, sel: Column | Selection | None = None, as_type: str | None = None, out: str = "sum") -> DataFrame:
     """(key, sum) of the selected rows: exactly the keys that occur among them."""
     x = F.col(value) if as_type is None else F.col(value).cast(as_type)
-    rows = df if sel is None else df.where(sel)
-    return rows.groupBy(key).agg(F.sum(x).alias(out))
+    return chosen(df, sel).groupBy(key).agg(F.sum(x).alias(out))
 
 
 class GroupBuilder:
@@ -85,7 +90,14 @@ class GroupBuilder:
         self.parts += other.parts
         return self
 
-    def finish(self) -> DataFrame:
+    def distinct_key_count(self) -> DataFrame:
+        """One row n: the groups so far, that of null keys included."""
+        return distinct_key_count(self._every(), self.key)
+
+    def _every(self) -> DataFrame:
         if not self.parts:
             raise ValueError("nothing was fed")
-        return reduce(DataFrame.unionByName, self.parts).groupBy(self.key).agg(*self._combine)
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def finish(self) -> DataFrame:
+        return self._every().groupBy(self.key).agg(*self._combine)

@@ -20,9 +20,25 @@ def _stacked(a: Selection, b: Selection) -> DataFrame:
     return a.df.unionByName(b.df)
 
 
+def _from_base(kind: str, base: DataFrame, predicate: Column) -> Selection:
+    """The selection of base by a predicate: one scan, however many were combined."""
+    if kind == "mask":
+        return Selection(kind, base.select("pos", predicate.alias("sel")), base, predicate)
+    positions = Selection("positions", base.where(predicate).select("pos"), base, predicate)
+    return positions.to_bitmap() if kind == "bitmap" else positions
+
+
+def _shared(a: Selection, b: Selection) -> bool:
+    """Whether both are predicates on one table with a column pos."""
+    return a.base is not None and a.of(a.base) and b.of(a.base) and "pos" in a.base.columns
+
+
 def intersect(a: Selection, b: Selection) -> Selection:
-    """Rows in both."""
+    """Rows in both. Predicates on one table fold into one filter; selections that came
+    from elsewhere are combined in their encoding."""
     kind = _same_kind(a, b)
+    if _shared(a, b):
+        return _from_base(kind, a.base, a.predicate & b.predicate)
     if kind == "mask":
         out = a.df.join(b.df.withColumnRenamed("sel", "other"), "pos").select("pos", (F.col("sel") & F.col("other")).alias("sel"))
     elif kind == "bitmap":  # a bucket that only one side has is empty in the other
@@ -33,8 +49,10 @@ def intersect(a: Selection, b: Selection) -> Selection:
 
 
 def unite(a: Selection, b: Selection) -> Selection:
-    """Rows in either."""
+    """Rows in either; see intersect."""
     kind = _same_kind(a, b)
+    if _shared(a, b):
+        return _from_base(kind, a.base, a.predicate | b.predicate)
     if kind == "mask":
         out = a.df.join(b.df.withColumnRenamed("sel", "other"), "pos").select("pos", (F.col("sel") | F.col("other")).alias("sel"))
     elif kind == "bitmap":
@@ -47,7 +65,3 @@ def unite(a: Selection, b: Selection) -> Selection:
 def all_of(*predicates: Column) -> Column:
     """Predicates on one table need no join: they fold into one filter of the scan."""
     return reduce(lambda a, b: a & b, predicates)
-
-
-def any_of(*predicates: Column) -> Column:
-    return reduce(lambda a, b: a | b, predicates)

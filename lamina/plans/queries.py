@@ -1,7 +1,7 @@
 """The column algebra over the sample tables, one query per operator.
 
 Positions are the dense keys of events, orders and part; lineitem has none, so its
-position is the rank by six columns that make its rows unique."""
+position is a row's place in its files."""
 
 from __future__ import annotations
 
@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compare import ge, lt
-from ..functions.numeric import kahan_sum
+from ..functions.numeric import compensated_sum
 from ..operators import arithmetic, filters, gather as mat, grouping, joins, selection, setops, sorting
-from ..sources import load, slice_rows, with_pos
+from ..sources import adopt, byte_count, column, load, new_path, slice_rows, store, with_file_pos, with_pos
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 Filter, Selection, Arithmetic = filters.Filter, selection.Selection, arithmetic.Arithmetic
 
 QUERIES: dict = {}
-LP = f"(select row_number() over (order by {', '.join(LINE_KEY)}) - 1 as pos, * from lineitem)"
+LP = "(select row_number() over () - 1 as pos, * from lineitem)"
 
 
 def query(name: str, sql: str | None):
@@ -37,7 +36,7 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return with_pos(load(spark, d, "lineitem").select(*dict.fromkeys([*LINE_KEY, *columns])), order=LINE_KEY)
+    return with_file_pos(load(spark, d, "lineitem")).select("pos", *columns)
 
 
 def _filter(name: str, compare: str, col: str, const, sql: str) -> None:
@@ -95,6 +94,20 @@ def filter_count_bitmap(spark, d):
     return Filter("gt", 100.0).select(events(spark, d), "value", "bitmap").count()
 
 
+@query("filter_mask_counted", "select event_id, value > 100 as sel, cast(sum(case when value > 100 then 1 else 0 end) over () as bigint) as n from events")
+def filter_mask_counted(spark, d):
+    """The mask together with its count."""
+    mask, n = Filter("gt", 100.0).select_with_count(events(spark, d), "value", "mask")
+    return mask.df.select(F.col("pos").alias("event_id"), "sel", n.scalar().alias("n"))
+
+
+@query("filter_bitmap_counted", "select cast(event_id // 32768 as bigint) as slab, cast(count(*) as bigint) as n from events where value > 100 group by 1")
+def filter_bitmap_counted(spark, d):
+    """A bitmap counts its own bits, a value at a time."""
+    bitmap = Filter("gt", 100.0).select(events(spark, d), "value", "bitmap").df
+    return bitmap.select((F.col("bucket") - 1).cast("bigint").alias("slab"), F.bitmap_count("bits").cast("bigint").alias("n"))
+
+
 @query("filter_start_position", "select event_id + 1000 as pos from events where value > 100")
 def filter_start_position(spark, d):
     return Filter("gt", 100.0).select(events(spark, d), "value", "positions", start_position=1000).df
@@ -114,6 +127,8 @@ BOTH, EITHER = "value > 100 and user_id < 75", "value > 100 or user_id < 75"
 for _kind, _short in (("mask", "mask"), ("positions", "pos")):
     QUERIES[f"sel_intersect_{_short}"] = (lambda s, d, k=_kind: setops.intersect(*_two(s, d, k)).to_positions().df.withColumnRenamed("pos", "event_id"), f"select event_id from events where {BOTH}")
     QUERIES[f"sel_union_{_short}"] = (lambda s, d, k=_kind: setops.unite(*_two(s, d, k)).to_positions().df.withColumnRenamed("pos", "event_id"), f"select event_id from events where {EITHER}")
+for _short, _combine, _where in (("intersect", setops.intersect, BOTH), ("union", setops.unite, EITHER)):
+    QUERIES[f"sel_{_short}_bits"] = (lambda s, d, c=_combine: c(*(Selection("bitmap", x.df) for x in _two(s, d, "bitmap"))).to_positions().df.withColumnRenamed("pos", "event_id"), f"select event_id from events where {_where}")
 QUERIES["sel_intersect_bitmap"] = (lambda s, d: setops.intersect(*_two(s, d, "bitmap")).count(), f"select cast(count(*) as bigint) n from events where {BOTH}")
 QUERIES["sel_union_bitmap"] = (lambda s, d: setops.unite(*_two(s, d, "bitmap")).count(), f"select cast(count(*) as bigint) n from events where {EITHER}")
 
@@ -132,7 +147,7 @@ def materialize_bitmap(spark, d):
 
 @query("materialize_pos", "select o.o_orderkey as ordinal, o.o_custkey as pos, e.value from orders o join events e on e.event_id = o.o_custkey")
 def materialize_pos(spark, d):
-    """A position list with repeated entries, in an order of its own."""
+    """A position list with repeated entries, in an order of its own: a join with another column."""
     listed = load(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("pos"))
     return mat.materialize(events(spark, d), Selection("positions", listed), "value")
 
@@ -182,7 +197,20 @@ def avg_masked(spark, d):
 
 @query("sum_compensated", "select user_id, round(kahan_sum(value), 6) as sum from events group by user_id")
 def sum_compensated(spark, d):
-    return load(spark, d, "events").groupBy("user_id").agg(F.round(kahan_sum(F.col("value"), F.col("event_id")), 6).alias("sum"))
+    sums = compensated_sum(load(spark, d, "events"), F.col("value"), F.col("event_id"), ("user_id",))
+    return sums.select("user_id", F.round("sum", 6).alias("sum"))
+
+
+@query("sum_compensated_all", "select round(kahan_sum(value), 4) as sum from events")
+def sum_compensated_all(spark, d):
+    return Arithmetic("sum", "kahan").reduce(events(spark, d), "value").select(F.round("sum", 4).alias("sum"))
+
+
+@query("arith_div_uint64", "select o_orderkey, cast((18446744073709551615 - o_orderkey) // cast(nullif(o_custkey, 0) as hugeint) as decimal(20,0)) as result from orders")
+def arith_div_uint64(spark, d):
+    big = F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("o_orderkey")
+    o = load(spark, d, "orders").select("o_orderkey", big.cast("decimal(20,0)").alias("a"), F.col("o_custkey").cast("decimal(20,0)").alias("b"))
+    return Arithmetic("div").apply(o, "a", "b").select("o_orderkey", "result")
 
 
 GROUPS = "select user_id, first_pos, cast(row_number() over (order by first_pos) - 1 as bigint) gid from (select user_id, min(event_id) first_pos from events {} group by user_id) t"
@@ -203,6 +231,14 @@ def group_build_renumbered(spark, d):
     return grouping.group_ids(events(spark, d), "user_id", sel=F.col("value") > 100, preserve_positions=False)
 
 
+@query("group_build_bitmap", GROUPS.format("where value > 100"))
+def group_build_bitmap(spark, d):
+    """The rows of a bitmap that was made elsewhere."""
+    e = events(spark, d)
+    bitmap = Selection("bitmap", Filter("gt", 100.0).select(e, "value", "bitmap").df)
+    return grouping.group_ids(e, "user_id", sel=bitmap)
+
+
 @query("group_lookup", f"select e.event_id as pos, g.gid from events e join ({GROUPS.format('')}) g on e.user_id = g.user_id")
 def group_lookup(spark, d):
     e = events(spark, d)
@@ -247,6 +283,19 @@ def group_sum_masked(spark, d):
     return grouping.group_sum(load(spark, d, "lineitem"), "l_partkey", "l_quantity", sel=F.col("l_discount") >= 0.05, as_type="decimal(18,2)")
 
 
+@query("group_sum_bitmap", "select user_id, cast(sum(cast(value as decimal(18,2))) as decimal(28,2)) as sum from events where value > 100 group by user_id")
+def group_sum_bitmap(spark, d):
+    e = events(spark, d)
+    return grouping.group_sum(e, "user_id", "value", sel=Filter("gt", 100.0).select(e, "value", "bitmap"), as_type="decimal(18,2)")
+
+
+@query("group_sum_distinct_count", "select cast(count(distinct l_partkey) as bigint) n from lineitem")
+def group_sum_distinct_count(spark, d):
+    whole = load(spark, d, "lineitem")
+    build = lambda cond: grouping.GroupBuilder.sums("l_partkey", "l_quantity").feed(whole.where(cond))
+    return build("l_orderkey % 2 = 0").merge(build("l_orderkey % 2 <> 0")).distinct_key_count()
+
+
 @query("group_sum_merge", "select l_partkey, cast(sum(cast(l_quantity as bigint)) as bigint) as sum from lineitem group by l_partkey")
 def group_sum_merge(spark, d):
     whole = load(spark, d, "lineitem")
@@ -256,7 +305,7 @@ def group_sum_merge(spark, d):
 
 @query("join_unique", f"select o.o_orderkey as build_pos, cast(p.pos as bigint) as probe_pos from {LP} p join orders o on p.l_orderkey = o.o_orderkey")
 def join_unique(spark, d):
-    return joins.lookup_join(orders(spark, d), lineitem(spark, d), "o_orderkey", "l_orderkey", unique=True)
+    return joins.lookup_join(orders(spark, d), lineitem(spark, d, "l_orderkey"), "o_orderkey", "l_orderkey", unique=True)
 
 
 for _pick, _fold in (("first", "min"), ("last", "max")):
@@ -271,17 +320,19 @@ def join_all(spark, d):
     return joins.lookup_join(orders(spark, d), events(spark, d), "o_custkey", "user_id", duplicates="all")
 
 
-@query("join_miss", "select o.o_orderkey as build_pos, e.event_id as probe_pos from events e join orders o on e.event_id = o.o_orderkey where o.o_orderkey < 500")
+@query("join_miss", "select o.o_orderkey as build_pos, cast(p.pos as bigint) as probe_pos from {LP} p join orders o on p.l_partkey + p.l_suppkey * 1000 = o.o_orderkey".format(LP=LP))
 def join_miss(spark, d):
-    return joins.lookup_join(orders(spark, d).where("o_orderkey < 500"), events(spark, d), "o_orderkey", "event_id")
+    """Whole tables, on probe keys of which most have no build row."""
+    probe = lineitem(spark, d, "l_partkey", "l_suppkey").withColumn("k", F.expr("l_partkey + l_suppkey * 1000"))
+    return joins.lookup_join(orders(spark, d), probe, "o_orderkey", "k")
 
 
 @query("join_merge", "select b.bp as build_pos, e.event_id as probe_pos from events e join (select o_custkey, min(o_orderkey) bp from orders group by o_custkey) b on e.user_id = b.o_custkey")
 def join_merge(spark, d):
-    """The build side in two tables, merged before the probe."""
+    """Two builds, each of half the rows, merged before the probe."""
     o = orders(spark, d)
-    two = o.where("o_orderkey % 2 = 1").unionByName(o.where("o_orderkey % 2 = 0"))
-    return joins.lookup_join(two, events(spark, d), "o_custkey", "user_id")
+    odd, even = (joins.JoinBuilder("o_custkey").feed(o.where(f"o_orderkey % 2 = {i}")) for i in (1, 0))
+    return odd.merge(even).probe(events(spark, d), "user_id")
 
 
 @query("join_payload", "select b.bp as build_pos, e.event_id as probe_pos, o.o_totalprice, o.o_orderstatus from events e join (select o_custkey, min(o_orderkey) bp from orders group by o_custkey) b on e.user_id = b.o_custkey join orders o on o.o_orderkey = b.bp")
@@ -318,7 +369,7 @@ def cluster_refine(spark, d):
 
 @query("multi_sort", f"select cast(row_number() over (order by l_returnflag, l_quantity, l_extendedprice desc, pos) - 1 as bigint) as rank, cast(pos as bigint) as pos from {LP} t")
 def multi_sort(spark, d):
-    return sorting.multi_sort(lineitem(spark, d, "l_returnflag", "l_quantity"), [("l_returnflag", "asc"), ("l_quantity", "asc"), ("l_extendedprice", "desc")])
+    return sorting.multi_sort(lineitem(spark, d, "l_returnflag", "l_quantity", "l_extendedprice"), [("l_returnflag", "asc"), ("l_quantity", "asc"), ("l_extendedprice", "desc")])
 
 
 @query("range_scan", f"select cast(pos as bigint) as pos, l_quantity from {LP} t where pos >= 1000 and pos < 2000")
@@ -328,8 +379,6 @@ def range_scan(spark, d):
 
 @query("selection_bytes", "select cast(count(*) * 8 as bigint) as bytes from events where value > 100")
 def selection_bytes(spark, d):
-    from ..sources import byte_count
-
     return byte_count(Filter("gt", 100.0).select(events(spark, d), "value", "positions").df)
 
 
@@ -355,3 +404,21 @@ def pipeline_join_group(spark, d):
     line = Filter("lt", 24).rows(load(spark, d, "lineitem"), "l_quantity").select("l_orderkey", "l_extendedprice")
     o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return grouping.group_sum(line.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "o_orderpriority", "l_extendedprice", as_type="decimal(18,2)")
+
+
+@query("source_column", "select cast(i as bigint) as pos, cast(i * i % 251 as smallint) as value from range(1000) t(i)")
+def source_column(spark, d):
+    return column(spark, [i * i % 251 for i in range(1000)], "uint8")
+
+
+@query("source_adopted", "select n_nationkey, n_name, n_regionkey from nation")
+def source_adopted(spark, d):
+    """An Arrow table that is in memory already: the fixed 25 nations."""
+    return adopt(spark, load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").toArrow())
+
+
+@query("sink_parquet", "select p_partkey, p_retailprice from part where p_size > 25")
+def sink_parquet(spark, d):
+    path = new_path(spark, "sink")
+    store(Filter("gt", 25).rows(load(spark, d, "part"), "p_size").select("p_partkey", "p_retailprice"), path)
+    return spark.read.parquet(path)

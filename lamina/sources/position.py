@@ -1,22 +1,20 @@
 """Dense row positions and ranks without a single-partition window.
 
-A global ``row_number`` sends every row to one task. ``rank_rows`` does so only up to
-SMALL rows. Beyond, it cuts the order into ranges at boundaries taken from a bounded
-sample (the rows with the smallest hashes of their keys, so that reruns agree), ranks
-inside each range, and adds the sizes of the ranges before it.
+A global ``row_number`` sends every row to one task. ``rank_rows`` sorts by ranges
+instead: Spark draws the boundaries, rows are sorted inside their partition and written
+once with their place in it, and one count per partition gives the rows before.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SMALL = 100_000
-RANGES = 64
-SAMPLE = 4096
+from .written import materialize
+
+#: monotonically_increasing_id holds the partition above this many bits of a row's place.
+PLACE_BITS = 33
 
 
 def with_pos(df: DataFrame, key: str | None = None, order: list[str] | None = None, name: str = "pos") -> DataFrame:
@@ -43,37 +41,14 @@ def ordering(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in keys]
 
 
-def _at_or_after(row: dict, keys: list[tuple[str, bool]]) -> Column:
-    """Whether a row of the table is not before ``row`` (nulls are least)."""
-    out = F.lit(True)
-    for c, up in reversed(keys):
-        x, v = F.col(c), row[c]
-        if v is None:
-            after = x.isNotNull() if up else F.lit(False)
-            same = x.isNull()
-        else:
-            less = F.coalesce(x < F.lit(v), F.lit(True))
-            more = F.coalesce(x > F.lit(v), F.lit(False))
-            after, same = (more if up else less), x.eqNullSafe(F.lit(v))
-        out = after | (same & out)
-    return out
-
-
-def rank_rows(df: DataFrame, keys: list[tuple[str, bool]], name: str = "rank", ranges: int | None = None) -> DataFrame:
+def rank_rows(df: DataFrame, keys: list[tuple[str, bool]], name: str = "rank") -> DataFrame:
     """df with its 0-based rank in the order of keys, pairs of a column and whether it
-    ascends. The keys should make rows unique; ties are ranked in any order."""
+    ascends. The keys should make rows unique; ties are ranked in any order. The sorted
+    rows are a written table, since boundaries drawn anew would move rows."""
     order = ordering(keys)
-    if ranges is None:
-        ranges = 1 if df.count() <= SMALL else RANGES
-    if ranges == 1:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    names = [c for c, _ in keys]
-    drawn = df.select(*names).orderBy(F.xxhash64(*names)).limit(SAMPLE)
-    sample = [r.asDict() for r in drawn.orderBy(*order).collect()]
-    cuts = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
-    part = reduce(lambda a, b: a + b, [F.when(_at_or_after(c, keys), 1).otherwise(0) for c in cuts], F.lit(0))
-    parts = df.withColumn("range_", part)
-    sizes = parts.groupBy("range_").agg(F.count(F.lit(1)).alias("rows_"))  # at most ``ranges`` rows
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    rows = materialize(rows, "ranked").withColumn("range_", F.shiftright("place_", PLACE_BITS))
+    sizes = rows.groupBy("range_").agg(F.count(F.lit(1)).alias("rows_"))  # a row for each partition
     before = sizes.select("range_", (F.sum("rows_").over(Window.orderBy("range_")) - F.col("rows_")).alias("before_"))
-    inside = parts.withColumn("in_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(before), "range_").withColumn(name, (F.col("before_") + F.col("in_")).cast("bigint")).drop("range_", "before_", "in_")
+    rank = F.col("before_") + F.col("place_").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return rows.join(F.broadcast(before), "range_").withColumn(name, rank.cast("bigint")).drop("range_", "before_", "place_")

@@ -2,13 +2,14 @@
 
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
-from lamina.functions import kahan_sum, widened
-from lamina.operators import Arithmetic, Filter, GroupBuilder, Selection, argsort, clusters, distinct_key_count, group_ids, group_sum, intersect, lookup_gids, lookup_join, materialize, multi_sort, refine, representatives, sort_values, unite
+from lamina.functions import compensated_sum, kahan_sum, widened
+from lamina.operators import Arithmetic, Filter, GroupBuilder, JoinBuilder, Selection, argsort, clusters, distinct_key_count, group_ids, group_sum, intersect, lookup_gids, lookup_join, materialize, multi_sort, refine, representatives, sort_values, unite
 from lamina.sources import byte_count, column, rank_rows, slice_rows, with_file_pos, with_pos
 
 
@@ -87,11 +88,11 @@ def test_materialize_keeps_duplicates_and_order(spark):
     assert rows(materialize(base, listed, "value"), "ordinal") == [(0, 2, 30), (1, 0, 10), (2, 2, 30)]
 
 
-@pytest.mark.parametrize("kind", ["int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "float", "double"])
+@pytest.mark.parametrize("kind", ["int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float", "double"])
 def test_arithmetic_by_type(spark, kind):
-    of = float if kind in ("float", "double") else int
+    of = float if kind in ("float", "double") else Decimal if kind == "uint64" else int
     df = frame(spark, [(of(9), of(3)), (of(7), of(2))], f"a {widened(kind).simpleString()}, b {widened(kind).simpleString()}")
-    for op, want in (("add", [9, 12]), ("sub", [5, 6]), ("mul", [14, 27]), ("div", [3, 3] if of is int else [3, 3.5])):
+    for op, want in (("add", [9, 12]), ("sub", [5, 6]), ("mul", [14, 27]), ("div", [3, 3] if of is not float else [3, 3.5])):
         assert sorted(r[0] for r in rows(Arithmetic(op).apply(df, "a", "b").select("result"))) == want
 
 
@@ -178,15 +179,14 @@ def test_join_duplicates_misses_zero_and_null(spark):
         pick(duplicates="any")
 
 
-@pytest.mark.parametrize("ranges", [1, 8])
-def test_ranks_in_one_task_or_in_ranges(spark, ranges):
+def test_ranks(spark):
     rng = random.Random(9)
     data = [(i, rng.choice([None, *range(-3, 4)]), rng.choice("abc")) for i in range(500)]
     df = frame(spark, data, "pos long, a long, b string")
-    got = {r["pos"]: r["rank"] for r in rank_rows(df, [("b", False), ("a", True), ("pos", True)], ranges=ranges).collect()}
+    got = {r["pos"]: r["rank"] for r in rank_rows(df, [("b", False), ("a", True), ("pos", True)]).collect()}
     order = sorted(data, key=lambda r: (-ord(r[2]), (r[1] is not None, r[1] or 0), r[0]))
     assert [got[r[0]] for r in order] == list(range(500))
-    down = {r["pos"]: r["rank"] for r in rank_rows(df, [("a", False), ("pos", True)], ranges=ranges).collect()}
+    down = {r["pos"]: r["rank"] for r in rank_rows(df, [("a", False), ("pos", True)]).collect()}
     order = sorted(data, key=lambda r: (-(r[1] if r[1] is not None else -99), r[0]))
     assert [down[r[0]] for r in order] == list(range(500))
 
@@ -228,3 +228,64 @@ def test_positions(spark, tmp_path):
     assert sorted(r["pos"] for r in got.collect()) == list(range(100))
     with pytest.raises(ValueError):
         widened("int128")
+
+
+def test_uint64_division_beyond_64_bits(spark):
+    top = 2**64 - 1
+    df = frame(spark, [(Decimal(top), Decimal(1)), (Decimal(top), Decimal(2)), (Decimal(7), Decimal(0))], "a decimal(20,0), b decimal(20,0)")
+    got = Arithmetic("div").apply(df, "a", "b")
+    assert [r[0] for r in rows(got.select("result"), F.col("result").desc_nulls_last())] == [top, top // 2, None]
+
+
+def test_compensated_sums_at_any_size(spark):
+    rng = random.Random(13)
+    values = [rng.choice([1e16, -1e16, 1.0, 0.1, -3e-9]) * rng.random() for _ in range(20_000)] + [None]
+    df = frame(spark, [(i, i % 3, v) for i, v in enumerate(values)], "pos long, k long, v double").repartition(5)
+    want = lambda k: math.fsum(v for i, v in enumerate(values) if v is not None and (k is None or i % 3 == k))
+    assert rows(Arithmetic("sum", "kahan").reduce(df, "v"))[0][0] == pytest.approx(want(None), rel=1e-12)
+    got = compensated_sum(df, F.col("v"), F.col("pos"), ("k",))
+    assert [r[1] for r in rows(got, "k")] == [pytest.approx(want(k), rel=1e-12) for k in range(3)]
+    masked = Arithmetic("avg", "kahan").reduce(df, "v", sel=F.col("k") == 1)
+    assert rows(masked)[0][0] == pytest.approx(want(1) / sum(i % 3 == 1 and v is not None for i, v in enumerate(values)), rel=1e-12)
+    assert rows(Arithmetic("sum", "kahan").reduce(df.where("false"), "v")) == [(None,)]
+
+
+def test_count_of_the_same_pass(spark):
+    mask, n = Filter("ge", 3).select_observed(column(spark, range(10)), "value")
+    assert [r[1] for r in sorted(mask.df.collect())] == [False] * 3 + [True] * 7
+    assert n.get == {"n": 7}
+
+
+def test_own_selections_are_filters_and_foreign_ones_joins(spark):
+    df = column(spark, range(1000)).withColumn("k", F.col("value") % 10)
+    own = Filter("lt", 100).select(df, "value", "bitmap")
+    foreign = Selection("bitmap", own.df)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(materialize(df, own, "value")) and "Join" in plan(materialize(df, foreign, "value"))
+    other = Filter("ge", 50).select(df, "value", "bitmap")
+    for a, b in ((own, other), (foreign, Selection("bitmap", other.df))):
+        assert [r[0] for r in rows(intersect(a, b).to_positions().df, "pos")] == list(range(50, 100))
+        assert rows(unite(a, b).count()) == [(1000,)]
+    for sel in (own, foreign, own.to_mask(df), foreign.to_positions()):
+        assert rows(group_sum(df, "k", "value", sel=sel), "k") == [(k, 450 + 10 * k) for k in range(10)]
+        assert group_ids(df, "k", sel=sel).count() == 10
+        groups = group_ids(df, "k")
+        assert lookup_gids(df, groups, "k", sel=sel).where("gid is not null").count() == 100
+
+
+def test_join_builders_merge(spark):
+    build = frame(spark, [(i, i % 7) for i in range(70)] + [(70, None)], "pos long, k long")
+    probe = frame(spark, [(0, 3), (1, 9), (2, None)], "pos long, k long")
+    for keep, want in (("first", [(3, 0)]), ("last", [(66, 0)]), ("all", [(3 + 7 * i, 0) for i in range(10)])):
+        parts = [JoinBuilder("k", duplicates=keep).feed(build.where(f"pos % 3 = {i}")) for i in range(3)]
+        assert rows(parts[0].merge(parts[1].merge(parts[2])).probe(probe, "k"), "build_pos") == want
+    with pytest.raises(ValueError):
+        JoinBuilder("k").merge(JoinBuilder("k", duplicates="last"))
+    with pytest.raises(ValueError):
+        JoinBuilder("k").built()
+
+
+def test_groups_of_a_sum_builder(spark):
+    df = frame(spark, [(0, 1, 2), (1, None, 3), (2, 1, 4), (3, 5, 5)], "pos long, k long, v long")
+    parts = [GroupBuilder.sums("k", "v").feed(df.where(f"pos % 2 = {i}")) for i in range(2)]
+    assert rows(parts[0].merge(parts[1]).distinct_key_count()) == [(3,)]
