@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.written import materialize, new_path, shared_dir  # noqa: F401
+
 #: A table is broadcast only when its measured values take at most this many bytes.
 BROADCAST_BYTES = 16 << 20
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -19,35 +20,6 @@ BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 CHUNK = 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only where that setting is absent on a local master (tests) a temporary folder is
-    used: the executors of a cluster would each write to a disk of their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = getattr(spark, "_lamina_dir", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="lamina-")
-            spark._lamina_dir = path
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and
-    a lost executor costs a reread, not a recomputation."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _width(col: Column, kind: T.DataType) -> Column:
     """Bytes of a value, about."""
     if isinstance(kind, T.StringType | T.BinaryType):

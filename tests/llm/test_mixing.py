@@ -64,6 +64,8 @@ def test_mix_holds_what_the_plan_takes(make, text):
     assert mixed.columns == docs.columns and mixed.count() == taken
     shards = [p.shard for r in plan.collect() for p in r.placements or ()]
     assert len(set(shards)) > 20
+    places = [p for r in mixing.taken_by_row(plan).collect() for p in r.places.split(",") if p]
+    assert len(places) == len(set(places)) == taken
 
 
 def test_one_hot_row_and_empty_table(make):
@@ -74,17 +76,48 @@ def test_one_hot_row_and_empty_table(make):
     assert mixing.mixed_rows(make([]), mixing.plan_mix(make([]))).collect() == []
 
 
-def test_more_sources_than_the_driver_holds(make, text, monkeypatch):
+def test_many_sources_in_few_pools(make, text, monkeypatch):
     rng = random.Random(6)
     data = [(i, text(rng, rng.randint(1, 60) if i % 9 else 900), rng.choice([None, "é", *(f"s{k}" for k in range(120))])) for i in range(900)]
     data += [(1000, None, "no words"), (1, data[1][1], data[1][2])]
     docs = make(data, extra=True)
     key = lambda r: (r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, r.n_takes)
-    few = sorted(map(key, mixing.taken_by_row(mixing.plan_mix(docs)).collect()))
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)
+    apart = sorted(map(key, mixing.taken_by_row(mixing.plan_mix(docs)).collect()))
+    monkeypatch.setattr(mixing, "POOLS", 8)
     plan = mixing.plan_mix(docs)
-    assert sorted(map(key, mixing.taken_by_row(plan).collect())) == few and any(abs(t - 3 * s) < 1e-3 for _, _, s, t, _, _ in few if s)
-    assert mixing.mixed_rows(docs, plan).count() == sum(k[-1] for k in few)
+    assert sorted(map(key, mixing.taken_by_row(plan).collect())) == apart and any(abs(t - 3 * s) < 1e-3 for _, _, s, t, _, _ in apart if s)
+    size = Counter()
+    for i, t, s in data:
+        size[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.targets([size[s] for s in order], [(1, 2, 3)[k % 3] for k in range(len(order))])))
+    source = {i: s for i, _, s in data}
+    assert all(t == pytest.approx(want[source[i]], abs=1e-3) for i, _, _, t, _, _ in apart)
+    assert mixing.mixed_rows(docs, plan).count() == sum(k[-1] for k in apart)
     again = mixing.plan_mix(docs.repartition(5))
     assert sorted(map(repr, again.collect())) == sorted(map(repr, plan.collect()))
     assert len({at.shard for r in plan.collect() for at in r.placements or ()}) > 20
+
+
+def test_the_tree_decides_the_places(make, text):
+    docs = make(rows(text))
+    one, same, other = (mixing.taken_by_row(mixing.plan_mix(docs, tree_seed=s)).collect() for s in (1, 1, 2))
+    assert sorted(one) == sorted(same)
+    by = lambda got: {(r.doc_id, r.taken, r.n_takes): r.places for r in got}
+    assert by(one).keys() == by(other).keys() and sum(by(one)[k] != by(other)[k] for k in by(one)) > len(one) // 2
+    slots = defaultdict(list)
+    for r in one:
+        places = [tuple(map(int, p.split(":"))) for p in r.places.split(",") if p]
+        assert len(places) == r.n_takes
+        for shard, slot in places:
+            slots[shard].append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(slots) < mixing.MIN_SHARDS
+
+
+def test_tasks_and_driver_split_alike(spark, monkeypatch):
+    quotas = {3: 900, 5: 77, 11: 2000, 40: 0}
+    want = mixing.split_tree([quotas[p] for p in sorted(quotas)], 300, 9)
+    for frontier in (1, 7, 64, 1000):
+        monkeypatch.setattr(mixing, "FRONTIER", frontier)
+        got = {(r.pool, r.shard): r.drawn for r in mixing.split_quotas(spark, quotas, 300, 9).collect()}
+        assert got == {(p, s): want[i, s] for i, p in enumerate(sorted(quotas)) for s in range(300) if want[i, s]}
