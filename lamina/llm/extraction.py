@@ -7,15 +7,19 @@ characters per tag
 
 (C characters, LC those in links, nLC the others, T tags, LT link tags in the node;
 Cb and LCb of the body), and the sum of its children's densities. The node with the
-largest sum is the core of the article; the least density on its path to the body
-is the threshold. The result is the main element around the core, or the article
-around it with the page's other outermost articles that are not mostly links; without
-one, the whole page. Inside it, blocks under the threshold that are mostly links are
-left out, and without an article all blocks outside the core that are mostly links.
+largest weighted sum is the core of the article; the least density on its path to the body
+is the threshold.
 
-Elements that are page furniture by their tag, role, class or id are cut before
-densities are computed, unless the article itself is inside or, of those marked by
-a class or id alone, it is the one that holds most of the text that is left.
+Weights are what tags and names can say: a node is worth less inside an element whose
+class or id has a word of page furniture, and, on pages with an article or main element,
+outside of those. Nothing is cut by a name. From the core up to the body, a
+block beside the path stays unless it is mostly links or is worth less than the core; one
+that is worth less stays if its density, times what it is worth, still reaches the
+threshold. Inside the core the same holds.
+
+Only elements that are no text by their tag, role or hidden attribute (menus, forms,
+scripts, footers, asides) are cut before densities are computed, unless the article itself
+is inside. An element marked by a name that holds most of the page's text is not marked.
 
 A page is worked on alone, so memory is bounded by the largest page. Defined
 results: null or empty html, and pages without main text, give an empty text;
@@ -63,6 +67,9 @@ APART_WORDS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How an element is furniture: by a word, by one of APART_WORDS, or by tag, role or attribute.
 AREA, APART, FIXED = 1, 2, 3
+#: What text is worth inside an element marked by a word, and outside the articles of a page that has some.
+WEIGHTS = {AREA: 0.02, APART: 0.01}
+OUTSIDE = 0.1
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
@@ -76,13 +83,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "article", "parts", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "drop", "article", "parts", "chars", "links", "tags", "link_tags", "density", "total", "weight", "in_core")
 
     def __init__(self, tag: str, parent: int, drop: int, article: bool):
         self.tag, self.parent, self.drop, self.article = tag, parent, drop, article
         self.parts: list = []  # texts, and numbers of child nodes, in page order
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.weight, self.in_core = 1.0, False
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> int:
@@ -165,7 +173,7 @@ def parse(page: str) -> list[Node]:
 
 
 def _spare(nodes: list[Node]) -> None:
-    """Unmark the element that is furniture by its words alone but holds most of the
+    """Unmark the element that is marked by its words alone but holds most of the
     text that is left, and those around it. Where there is an article, only text inside
     counts. Elements of APART_WORDS are spared only where no other text is left."""
     articles = any(x.tag in ("article", "main") and not x.drop for x in nodes)
@@ -187,19 +195,27 @@ def _spare(nodes: list[Node]) -> None:
 
 
 def _cut(nodes: list[Node]) -> None:
-    """Furniture that holds the article stays; what is inside the rest goes."""
+    """Cut what is no text by its kind, and give the rest their weights. Furniture that
+    holds the article stays; what is inside the rest goes."""
     holds = [False] * len(nodes)
+    articles = False
     for i in range(len(nodes) - 1, 0, -1):
         x = nodes[i]
         if holds[i] or x.tag in ("article", "main") and not x.drop:
-            holds[i] = holds[x.parent] = True
+            articles = holds[i] = holds[x.parent] = True
     for i, x in enumerate(nodes):
         if holds[i] and x.tag not in ("article", "main"):
             x.drop = 0
     if any(x.drop in (AREA, APART) for x in nodes):
         _spare(nodes)
-    for x in nodes[1:]:
-        x.drop = bool(x.drop or nodes[x.parent].drop)
+    for i, x in enumerate(nodes):
+        up = nodes[x.parent] if i else None
+        x.weight = (up.weight if up else 1.0) * WEIGHTS.get(x.drop, 1.0)
+        if articles and x.tag in ("article", "main") and not (up and up.article):
+            x.weight /= OUTSIDE
+        elif articles and not up:
+            x.weight *= OUTSIDE
+        x.drop = bool(x.drop == FIXED or up and up.drop)
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -224,7 +240,7 @@ def _measure(nodes: list[Node]) -> None:
         base = math.log(x.chars / max(1, x.chars - x.links) * x.links + share * x.chars + math.e)
         log_base = max(math.log(base), 0.1)
         ratio = x.chars / max(1, x.links) * max(1, x.tags) / max(1, x.link_tags)
-        x.density = x.chars / max(1, x.tags) * max(0.0, math.log(max(ratio, 1.0))) / log_base
+        x.density = x.chars / max(1, x.tags) * math.log(max(ratio, 1.0 if x.links else 2.0)) / log_base
         if x.parent >= 0:
             nodes[x.parent].total += x.density
     for x in nodes:
@@ -236,33 +252,28 @@ def _link_heavy(x: Node) -> bool:
     return x.links * 3 > x.chars * 2
 
 
-def _select(nodes: list[Node]) -> tuple[list[int], float]:
-    """Roots of the main text in page order, and the threshold. Without an article
-    or main element around the core, the root is the page, and blocks that are mostly
-    links are dropped outside the core."""
+def _select(nodes: list[Node]) -> None:
+    """Drop what is not main text. Blocks on the core's path to the body stay; others
+    stay by the rule of the module's docstring."""
     live = [i for i, x in enumerate(nodes) if not x.drop and x.chars]
     if not live:
-        return [], 0.0
-    core = max(live, key=lambda i: (nodes[i].total, -i))
-    path, i = [], core
+        return
+    core = max(live, key=lambda i: (nodes[i].total * nodes[i].weight, nodes[i].chars * nodes[i].weight, -i))
+    path, i = set(), core
     while i >= 0:
-        path.append(i)
+        path.add(i)
         i = nodes[i].parent
     threshold = min(nodes[i].density for i in path)
-    around = [i for i in path if nodes[i].tag in ("article", "main")]
-    if around:
-        top = around[-1]
-        if nodes[top].tag == "main":
-            return [top], threshold
-        outer = (i for i in live if nodes[i].tag in ("article", "main") and not nodes[nodes[i].parent].article)
-        return [i for i in outer if i == top or not _link_heavy(nodes[i])], threshold
-    end = core + 1  # the nodes in the core follow it
-    while end < len(nodes) and nodes[end].parent >= core:
-        end += 1
-    for i in set(live).difference(path, range(core, end)):
+    worth = nodes[core].weight
+    for i in live:
         x = nodes[i]
-        x.drop = x.tag in BLOCK and _link_heavy(x)
-    return [0], threshold
+        if i in path:
+            continue
+        inside = x.parent >= 0 and (x.parent == core or nodes[x.parent].in_core)
+        x.in_core = inside
+        less = x.weight < worth and x.density * x.weight < threshold * worth
+        links = x.tag in BLOCK and _link_heavy(x) and (not inside or x.density < threshold)
+        x.drop = less or links
 
 
 def extract(page: str | None) -> str:
@@ -272,27 +283,26 @@ def extract(page: str | None) -> str:
     nodes = parse(page)
     _cut(nodes)
     _measure(nodes)
-    roots, threshold = _select(nodes)
+    _select(nodes)
     out: list[str] = []
-    for root in roots:
-        todo: list = [root]
-        while todo:
-            i = todo.pop()
-            if isinstance(i, str):
-                out.append(i)
-                continue
-            x = nodes[i]
-            block = x.tag in BLOCK
-            if x.drop or block and i != root and x.chars and x.density < threshold and _link_heavy(x):
-                out.append(" ")
-                continue
-            todo += [" "] * block + x.parts[::-1] + [" "] * block
-        out.append(" ")
+    todo: list = [0]
+    while todo:
+        i = todo.pop()
+        if isinstance(i, str):
+            out.append(i)
+            continue
+        x = nodes[i]
+        if x.drop:
+            out.append(" ")
+            continue
+        block = x.tag in BLOCK
+        todo += [" "] * block + x.parts[::-1] + [" "] * block
     return " ".join("".join(out).split())
 
 
 def extract_pages(pages: DataFrame, name: str = "text") -> DataFrame:
-    """pages with the main text of column html in column ``name``."""
+    """pages with the main text of column html in column ``name``; a column of that name
+    that pages have is replaced."""
     ship_package(pages.sparkSession)
 
     @F.pandas_udf("string")

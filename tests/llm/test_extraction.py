@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 
 from lamina.llm import extraction
@@ -104,3 +108,116 @@ def test_table_of_pages(spark):
     got = extraction.extract_pages(df).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert extraction.extract_pages(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="hidden gems"', 'data-class="ad"', 'data-id="comments"', 'id="notice"', 'class="search-results-page"', 'class="post-share wide"', 'class="widget"', 'class="newsletter"'])
+def test_a_name_alone_drops_no_article(attrs):
+    inside = f"<h1>Head line</h1><p>{ARTICLE}</p><p>{ARTICLE}</p>"
+    want = f"Head line {ARTICLE} {ARTICLE}"
+    assert extract(f"<body><nav><a href=/>Home</a></nav><div {attrs}>{inside}</div><footer>Rights</footer></body>") == want
+    assert extract(f"<body><article><div {attrs}>{inside}</div></article></body>") == want
+
+
+def test_density_alone_decides_among_equal_marks():
+    items = "".join(f"<li>{w}</li>" for w in "a few short words in a long list of things".split())
+    dense, sparse = ARTICLE * 30, "Buy it"
+    for first, second in ((dense, sparse), (sparse, dense)):
+        page = f"<article><h1>Head line</h1><ul>{items}</ul><div class=related>{first}</div><div class=related>{second}</div></article>"
+        assert extract(page) == f"Head line a few short words in a long list of things {dense}"
+
+
+def test_density_alone_chooses_the_core():
+    """Equal tags without names: the text is where characters per tag are, not links."""
+    links = "".join(f"<p><a href=/{i}>one more of many other pages, with a long title {i}</a></p>" for i in range(50))
+    mixed = "".join(f"<p>see <a href=/{i}>one more of many other pages {i}</a></p>" for i in range(30))
+    texts = "".join(f"<p>{ARTICLE} {i} <a href=/x>more</a></p>" for i in range(4))
+    want = " ".join(f"{ARTICLE} {i} more" for i in range(4))
+    for order in ((links, mixed, texts), (texts, links, mixed), (mixed, texts, links)):
+        assert extract("<body>" + "".join(f"<div>{x}</div>" for x in order) + "</body>") == want
+
+
+def slow(tree):
+    """Straight from the definition, on trees (tag, attrs, children) of a few block tags."""
+    nodes = []
+
+    def walk(t, up, weight, article):
+        tag, attrs, parts = t
+        if "'article'" not in repr(parts):  # a wrapper of articles is not furniture
+            weight *= {"class=ad": 0.02, "id=comments": 0.01}.get(attrs, 1)
+        outermost = tag == "article" and not article
+        me = {"tag": tag, "up": up, "parts": [], "weight": weight * (10 if outermost else 1)}
+        nodes.append(me)
+        for c in parts:
+            me["parts"].append(c if isinstance(c, str) else walk(c, me, me["weight"], article or tag == "article"))
+        return me
+
+    any_article = "article" in repr(tree)
+    root = walk(tree, None, 0.1 if any_article else 1.0, False)
+    below = lambda x: [x, *(n for c in x["parts"] if not isinstance(c, str) for n in below(c))]
+    own = lambda x: sum(len(c.strip()) for c in x["parts"] if isinstance(c, str))
+    in_link = lambda x: x is not None and (x["tag"] == "a" or in_link(x["up"]))
+    body_c, body_l = sum(map(own, nodes)), sum(own(x) for x in nodes if in_link(x))
+    for x in nodes:
+        all_ = below(x)
+        c, lc = sum(map(own, all_)), sum(own(n) for n in all_ if any(n is m for a in all_ if a["tag"] == "a" for m in below(a)))
+        t, lt = len(all_) - 1, sum(n["tag"] == "a" for n in all_)
+        x |= {"c": c, "lc": lc, "t": t, "d": 0.0}
+        if c:
+            base = math.log(c / max(1, c - lc) * lc + body_l / max(1, body_c) * c + math.e)
+            x["d"] = c / max(1, t) * math.log(max(1 if lc else 2, c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, math.log(base))
+    for x in nodes:
+        kids = [c for c in x["parts"] if not isinstance(c, str)]
+        x["sum"] = sum(k["d"] for k in kids) if kids else x["d"]
+    live = [x for x in nodes if x["c"]]
+    if not live:
+        return ""
+    core = max(live, key=lambda x: (x["sum"] * x["weight"], x["c"] * x["weight"], -next(i for i, n in enumerate(nodes) if n is x)))
+    path, x = [], core
+    while x is not None:
+        path.append(x)
+        x = x["up"]
+    threshold = min(x["d"] for x in path)
+
+    def out(x, inside):
+        if x["c"] and not any(x is p for p in path):
+            if x["weight"] < core["weight"] and x["d"] * x["weight"] < threshold * core["weight"]:
+                return " "
+            if x["tag"] != "a" and x["lc"] * 3 > x["c"] * 2 and (not inside or x["d"] < threshold):
+                return " "
+        edge = "" if x["tag"] == "a" else " "
+        return edge + "".join(c if isinstance(c, str) else out(c, inside or x is core) for c in x["parts"]) + edge
+
+    return " ".join(out(root, False).split())
+
+
+def test_equals_the_definition(monkeypatch):
+    monkeypatch.setattr(extraction, "_spare", lambda nodes: None)
+    rng = random.Random(17)
+    words = lambda n: " ".join(rng.choice(["stone", "a", "of", "river", "walking", "it"]) for _ in range(n))
+
+    def grow(depth, article):
+        tag = rng.choice(["div", "div", "section", "article"] if article else ["div", "section"])
+        attrs = rng.choice(["", "", "", "class=ad", "id=comments"]) if tag == "div" else ""
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            k = rng.random()
+            parts.append(grow(depth - 1, article) if depth and k < 0.4 else ("div", "", [words(rng.randint(0, 40))]) if k < 0.7 else ("a", "", [words(rng.randint(1, 9))]) if k < 0.9 else words(3) + " ")
+        return tag, attrs, parts
+
+    html = lambda t: t if isinstance(t, str) else f"<{t[0]}{' href=/' if t[0] == 'a' else ''}{' ' * bool(t[1])}{t[1]}>{''.join(map(html, t[2]))}</{t[0]}>"
+    seen = set()
+    for i in range(400):
+        tree = ("", "", [grow(4, i % 2 == 0) for _ in range(3)])
+        page = "".join(html(c) for c in tree[2])
+        got = extract(page)
+        assert got == slow(tree), page
+        seen.add(len(got) < len(" ".join(re.sub("<[^>]*>", " ", page).split())))
+    assert seen == {True, False}
+
+
+def test_query_over_a_table(spark, tmp_path):
+    pages = [(i, f"u{i}", f"<nav>x</nav><div class=ad>Buy</div><article><h1>T{i}</h1><p>{ARTICLE}</p></article>") for i in range(20)] + [(99, None, None), (None, "u", "<p>é&amp;")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: tuple(r) for r in extraction.op5_html_extraction(spark, str(tmp_path)).collect()}
+    assert got[99] == (99, None, "", 0) and got[None] == (None, "u", "é&", 2)
+    assert all(got[i] == (i, f"u{i}", f"T{i} {ARTICLE}", len(f"T{i} {ARTICLE}")) for i in range(20))
