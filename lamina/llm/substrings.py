@@ -9,13 +9,17 @@ GRAM-byte string inside the suffix's first LENGTH bytes (equal strings have the
 one at the same place), and only suffixes whose digit occurs twice stay. About one
 byte in 85 is such an anchor, so what is shuffled is anchors, not suffixes. The later
 passes run inside each anchor's group on the suffixes around it: the place of the
-anchor, then digits of DIGIT bytes, each a 64-bit hash, until LENGTH bytes are used up.
+anchor, then digits of DIGIT bytes, until LENGTH bytes are used up. A group is known by
+one 64-bit hash of its digits so far, so two strings count as equal if those hashes,
+compared inside a task's batch of at most a few megabytes, are.
 
 Equal texts are one text with a number of copies from the start. Groups of an anchor
-with over HOT members are cut further before they are dealt: suffixes go by how far
-before the anchor they start, in ranges that double, and by the bytes that all
-suffixes of the range share; equal surroundings are combined before the shuffle. So a
-passage that many documents share lands in no single task.
+with over HOT members are dealt by more of their bytes: suffixes go by how far before
+the anchor they start, in ranges that double, and by the bytes that all suffixes of the
+range share; equal surroundings are combined before the shuffle. Where over FEW different
+surroundings still share those bytes, the range is cut in halves, whose suffixes share
+more bytes, and so on: a range of one suffix shares all its bytes, and is one row. So
+no task gets a group that grows with the number of documents that share a passage.
 
 Defined results: null text is empty; texts of under LENGTH bytes lose nothing; copies
 of a longer text are removed whole; equal rows get equal results; a null doc_id is
@@ -24,8 +28,8 @@ kept.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship_package, sized, text_or_empty
-from .tokens import _DOWN, _UP, PIECE, mix
+from .tokens import _DOWN, _INV, _ODD, _UP, PIECE, mix, powers
 
 LENGTH = 200
 GRAM = 32
 DIGIT = 50
 HOT = 1000
+FEW = 200
 
 KEY = "f1 bigint, f2 int"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +73,8 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[
 
 def _prefix(buf: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _UP[: len(buf)], out=sums[1:])
+    up = _UP if len(buf) < len(_UP) else powers(_ODD, len(buf))
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
     return sums
 
 
@@ -127,8 +133,9 @@ def _grams(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]
 def _contexts(parts: Iterator[pd.DataFrame], length: int, hot: bool) -> Iterator[pd.DataFrame]:
     """Rows (f1, f2, key, first, lead, ctx) of the candidate anchors: the windows from
     text position ``first`` on, the first of which starts ``lead`` bytes before the anchor,
-    and the bytes they cover. Hot ones are cut into ranges that double, and those with equal
-    surroundings in one text are one row with an array ``firsts``."""
+    and the bytes they cover. Hot ones are cut into ranges (near to far bytes before the
+    anchor) that double, and those with equal surroundings in one text are one row with an
+    array ``firsts``."""
     for p in parts:
         f1, f2, wanted, seen = p["f1"].to_numpy(), p["f2"].to_numpy(), p["ordinals"].tolist(), {}
         for buf, text, offset, a, lo, hi, gram in anchors([bytes(t) for t in p["body"]], length):
@@ -145,8 +152,8 @@ def _contexts(parts: Iterator[pd.DataFrame], length: int, hot: bool) -> Iterator
                     ok = x <= y
                     s, e = a[ok] - near, a[ok] - far + length
                     shared = mix((sums[e] - sums[s]) * _DOWN[s])
-                    out.append((text[ok], offset[ok], a[ok], x[ok], y[ok], mix(key[ok] * _GOLD + shared + np.uint64(j))))
-                text, offset, a, lo, hi, key = (np.concatenate(c) for c in zip(*out))
+                    out.append((text[ok], offset[ok], a[ok], x[ok], y[ok], mix(key[ok] * _GOLD + shared + np.uint64(j)), np.full(ok.sum(), near), np.full(ok.sum(), far)))
+                text, offset, a, lo, hi, key, nears, fars = (np.concatenate(c) for c in zip(*out))
             data = buf.tobytes()
             ctx = [data[x : y + length] for x, y in zip(lo.tolist(), hi.tolist())]
             key, first, lead = key.view(np.int64), lo + offset, (a - lo).astype(np.int32)
@@ -154,10 +161,33 @@ def _contexts(parts: Iterator[pd.DataFrame], length: int, hot: bool) -> Iterator
                 yield pd.DataFrame({"f1": f1[text], "f2": f2[text], "key": key, "first": first, "lead": lead, "ctx": ctx})
                 continue
             same: dict[tuple, list[int]] = {}  # a text that repeats a line has the same surroundings again and again
-            for t, k, l, c, x in zip(text.tolist(), key.tolist(), lead.tolist(), ctx, first.tolist()):
-                same.setdefault((t, k, l, c), []).append(x)
-            t, k, l, c = (list(x) for x in zip(*same)) if same else ([], [], [], [])
-            yield pd.DataFrame({"f1": f1[t], "f2": f2[t], "key": k, "firsts": list(same.values()), "lead": l, "ctx": c})
+            for t, k, l, c, x, n, f in zip(text.tolist(), key.tolist(), lead.tolist(), ctx, first.tolist(), nears.tolist(), fars.tolist()):
+                same.setdefault((t, k, l, c, n, f), []).append(x)
+            t, k, l, c, n, f = (list(x) for x in zip(*same)) if same else ([], [], [], [], [], [])
+            yield pd.DataFrame({"f1": f1[t], "f2": f2[t], "key": k, "firsts": list(same.values()), "lead": l, "near": n, "far": f, "ctx": c})
+
+
+def _halve(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows of LEVEL with each range in two halves: their windows, the bytes that they
+    cover, and a key from the bytes that all windows of the half share."""
+    names = [c.split()[0] for c in LEVEL.split(", ")]
+    for p in parts:
+        out = []
+        for i, shift, key, near, far, lead, ctx, n in zip(*(p[c].tolist() for c in names)):
+            least = lead - (len(ctx) - length)  # the last window starts that far before the anchor
+            middle = (near + far) // 2
+            for half, (lo, hi) in enumerate(((near, middle), (middle + 1, far))):
+                x, y = min(hi, lead), max(lo, least)
+                if x < y:
+                    continue
+                shared = _prefix(np.frombuffer(ctx[lead - lo : lead - hi + length], dtype=np.uint8))[-1:]
+                own = mix(np.array([key], dtype=np.int64).view(np.uint64) * _GOLD + mix(shared) + np.uint64(half))
+                out.append((i, shift + lead - x, int(own.view(np.int64)[0]), lo, hi, x, ctx[lead - x : lead - y + length], n))
+        yield pd.DataFrame(out, columns=names)
+
+
+#: Contexts on a level of the cut: id of a row of hot contexts, and what its windows are shifted by in it.
+LEVEL = "id bigint, shift int, key bigint, near int, far int, lead int, ctx binary, n bigint"
 
 
 def repeated(key: np.ndarray, lead: np.ndarray, ctx: list[bytes], weight: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +197,8 @@ def repeated(key: np.ndarray, lead: np.ndarray, ctx: list[bytes], weight: np.nda
     sizes = np.array([len(c) for c in ctx])
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     buf = np.frombuffer(b"".join(ctx), dtype=np.uint8)
-    sums = np.concatenate([_prefix(buf)]) if len(buf) <= PIECE else None
+    sums = _prefix(buf)
+    down = _DOWN if len(buf) < len(_DOWN) else powers(_INV, len(buf) + 1)
     windows = sizes - length + 1
     row = np.repeat(np.arange(len(ctx)), windows)
     number = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
@@ -175,10 +206,7 @@ def repeated(key: np.ndarray, lead: np.ndarray, ctx: list[bytes], weight: np.nda
     for depth in range(0, length, DIGIT):
         d = min(DIGIT, length - depth)
         at = starts[row] + number + depth
-        if sums is not None:
-            digit = (sums[at + d] - sums[at]) * _DOWN[at]
-        else:  # one group over a piece: hash each window's digit alone
-            digit = np.array([int.from_bytes(hashlib.blake2b(buf[x : x + d].tobytes(), digest_size=8).digest(), "little") for x in at.tolist()], dtype=np.uint64)
+        digit = (sums[at + d] - sums[at]) * down[at]
         group = mix(group * _GOLD + mix(digit))
         _, which, count = np.unique(group, return_inverse=True, return_counts=True)
         if weight.max(initial=1) > 1:
@@ -236,6 +264,27 @@ def _hot_spans(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"key": g["key"].to_numpy()[r], "lead": g["lead"].to_numpy()[r], "c1": g["c1"].to_numpy()[r], "c2": g["c2"].to_numpy()[r], "a": a, "b": b + length})
 
 
+def hot_marks(level: DataFrame, length: int) -> DataFrame:
+    """(id, a, b): the runs of repeated windows' bytes in the contexts of level (LEVEL).
+    Each round finishes the groups of FEW different contexts or less, and halves the
+    ranges of the others."""
+    out: list[DataFrame] = []
+    group = ["key", "near", "far", "lead", "c1", "c2"]
+    while True:
+        level = level.withColumns({"c1": F.xxhash64("ctx"), "c2": F.hash(F.lit(3), "ctx")})
+        distinct = materialize(level.groupBy(*group).agg(F.first("ctx").alias("ctx"), F.sum("n").alias("n")), "contexts")
+        sizes = distinct.where("far > near").groupBy("key").agg(F.count(F.lit(1)).alias("contexts"))
+        many = materialize(sizes.where(F.col("contexts") > FEW).select("key"), "many")
+        few = distinct.join(sized(many), "key", "left_anti")
+        marks = few.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _hot_spans(p, length), "key bigint, lead int, c1 bigint, c2 int, a bigint, b bigint")
+        found = level.select("id", "shift", "key", "lead", "c1", "c2").join(sized(materialize(marks, "marks")), ["key", "lead", "c1", "c2"])
+        out.append(found.select("id", (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b")))
+        if many.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        rest = level.join(sized(many), "key").select(*(c.split()[0] for c in LEVEL.split(", ")))
+        level = materialize(rest.mapInPandas(lambda p: _halve(p, length), LEVEL), "halves")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(texts of docs: doc_id, f1, f2, body, copies; spans by f1, f2: an array of
     (start, end), not merged, where the text's bytes are in a repeated string that also
@@ -262,13 +311,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         c = one.join(plain.hint("shuffle_hash"), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, False), f"{KEY}, key bigint, first bigint, lead int, ctx binary")
         spans.append(c.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _spans(p, length), f"{KEY}, start bigint, end bigint").select("f1", "f2", F.array(F.struct("start", "end")).alias("spans")))
     if True in kinds:
-        c = one.join(found.where("hot").drop("hot").hint("shuffle_hash"), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, True), f"{KEY}, key bigint, firsts array<bigint>, lead int, ctx binary")
-        c = materialize(c.withColumns({"c1": F.xxhash64("ctx"), "c2": F.hash(F.lit(3), "ctx")}), "hot")
-        distinct = c.groupBy("key", "lead", "c1", "c2").agg(F.first("ctx").alias("ctx"), F.sum(F.size("firsts")).alias("n"))
-        marks = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(lambda p: _hot_spans(p, length), "key bigint, lead int, c1 bigint, c2 int, a bigint, b bigint")
-        marks = materialize(marks, "marks")
+        c = one.join(found.where("hot").drop("hot").hint("shuffle_hash"), ["f1", "f2"]).mapInPandas(lambda p: _contexts(p, length, True), f"{KEY}, key bigint, firsts array<bigint>, lead int, near int, far int, ctx binary")
+        c = materialize(c.withColumn("id", F.monotonically_increasing_id()), "hot")
+        marks = hot_marks(c.select("id", F.lit(0).alias("shift"), "key", "near", "far", "lead", "ctx", F.size("firsts").cast("bigint").alias("n")), length)
         at = F.transform("firsts", lambda x: F.struct((x + F.col("a")).alias("start"), (x + F.col("b")).alias("end")))
-        spans.append(c.drop("ctx").join(marks, ["key", "lead", "c1", "c2"]).select("f1", "f2", at.alias("spans")))
+        spans.append(c.select("id", "f1", "f2", "firsts").join(marks, "id").select("f1", "f2", at.alias("spans")))
     if spans:
         out = spans[0] if len(spans) == 1 else spans[0].unionByName(spans[1])
     else:
