@@ -3,14 +3,18 @@
 Unit vectors are cut into halves; each half has a codebook of its own (k-means on at
 most SAMPLE vectors, those with the smallest hash), and pairs of codewords are the
 cells of a product grid. Every vector lives in its nearest cell and visits its nearest
-cells in the order of a multi-sequence traversal. The number of cells visited is the
+cells in the order of a multi-sequence traversal (computed at once from the ranks that
+its first cells can have). The number of cells visited is one for all vectors: the
 smallest with which, in a calibration on the sample, pairs exactly at the threshold
 (each vector and a copy turned by the threshold's angle in a random direction) find
 each other from either side with TARGET_RECALL; closer pairs are found more often.
 Residents and visitors of a cell are then compared in double precision.
 
-Cells are worked on in blocks of residents by blocks of visitors, so a hot cell is
-spread over many tasks; what leaves a block is one row per linked vector. The index
+Equal vectors are one class with a number of copies. Cells are worked on in blocks of
+residents by blocks of visitors; what leaves a block is one row per linked vector. In a
+cell of many residents, those within half the threshold's angle of a common direction
+(any will do) are all linked with each other, by the triangle inequality of angles: they
+are counted, not compared, so that m close copies cost m rows. The index
 holds every vector; only the codebooks come from the sample, and they are what is
 broadcast (at most 2 * MAX_CODES vectors).
 
@@ -27,10 +31,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import expand, materialize, ship_package, sized
+from .common import materialize, ship_package, sized
 from .pairs import LINKED, by_unit, components, linked
-from .sharding import number_rows
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.98
@@ -39,6 +43,8 @@ CALIBRATION = 1000
 PER_CELL = 200
 MAX_CODES = 1024
 RESIDENTS, VISITORS = 128, 512
+#: Residents that a cell's common direction is the mean of, on average.
+CENTRE = 64
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -109,7 +115,11 @@ def fit(sample: np.ndarray, n: int, threshold: float = THRESHOLD, target: float
         most = min(k * k, 4 * most)
 
 
-def _unit_links(threshold: float):
+def _vectors(f: pd.DataFrame, kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(f["vec"]), dtype=kind).reshape(len(f), -1).astype(np.float64))
+
+
+def _unit_links(threshold: float, kind: str):
     def work(g: pd.DataFrame) -> pd.DataFrame | None:
         resident = g["resident"].to_numpy()
         out = []
@@ -119,8 +129,7 @@ def _unit_links(threshold: float):
             other = g[(width == w) & ~resident]
             if not len(own) or not len(other):
                 continue
-            vectors = lambda f: unit(np.frombuffer(b"".join(f["vec"]), dtype=np.float64).reshape(len(f), -1))
-            i, j = np.nonzero(vectors(own) @ vectors(other).T >= threshold)
+            i, j = np.nonzero(_vectors(own, kind) @ _vectors(other, kind).T >= threshold)
             a, b = own["node"].to_numpy(), other["node"].to_numpy()
             keep = a[i] != b[j]
             i, j = i[keep], j[keep]
@@ -145,25 +154,85 @@ def _unit_links(threshold: float):
     return work
 
 
+def _direction(kind: str):
+    """The mean of some residents' directions (of the commonest length)."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        width = g["vec"].map(len)
+        mean = _vectors(g[width == width.mode()[0]], kind).mean(axis=0)
+        return pd.DataFrame({"cell": g["cell"].iloc[:1], "centre": [mean.tobytes()]})
+
+    return work
+
+
+def _near_centre(parts: Iterator[pd.DataFrame], threshold: float, kind: str) -> Iterator[pd.DataFrame]:
+    """(cell, node, copies) of the residents within half the threshold's angle."""
+    half = np.sqrt((1 + threshold) / 2) + 1e-9
+    for p in parts:
+        keep = []
+        for v, c in zip(p["vec"], p["centre"]):
+            x, m = np.frombuffer(v, dtype=kind).astype(np.float64), np.frombuffer(c, dtype=np.float64)
+            keep.append(len(x) == len(m) and bool(m.any()) and float(unit(x[None, :])[0] @ unit(m[None, :])[0]) >= half)
+        yield p[["cell", "node", "copies"]][np.array(keep, dtype=bool)]
+
+
+def cell_links(placed: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """Links (node, root, links) between residents and visitors of cells, of placed (node,
+    copies, vec, cells as bytes, visited), a written table."""
+    home = F.col("visited")[0]
+    per_cell = placed.groupBy(home.alias("cell")).agg(F.count(F.lit(1)).alias("r")).where(F.col("r") > RESIDENTS)
+    large = materialize(per_cell, "large")
+    near = None
+    if large.isEmpty():
+        marked = placed.withColumn("core", F.lit(False))
+    else:
+        inside = placed.select(home.alias("cell"), "node", "copies", "vec").join(sized(large), "cell")
+        some = inside.where(f"pmod(xxhash64(node, 11), r) < {CENTRE}").select("cell", "vec")
+        centres = materialize(by_unit(some, ["cell"], _direction(kind), "cell int, centre binary"), "centres")
+        cores = materialize(inside.join(sized(centres), "cell").select("cell", "node", "copies", "vec", "centre").mapInPandas(lambda p: _near_centre(p, threshold, kind), "cell int, node bigint, copies bigint"), "cores")
+        whole = materialize(cores.groupBy("cell").agg(F.min("node").alias("root"), F.sum("copies").alias("in_core")), "whole")
+        near = cores.join(sized(whole), "cell").select("node", "root", (F.col("in_core") - F.col("copies")).alias("links"))
+        marked = placed.join(sized(cores.select("node", F.lit(True).alias("is_core"))), "node", "left").withColumn("core", F.coalesce("is_core", F.lit(False))).drop("is_core")
+
+    # Part 0 of a cell: all residents, and the visitors that aren't of its own core; part 1: the other
+    # residents, and the visitors of its core. Core meets core in neither.
+    residents = marked.select("node", "copies", "vec", "cells", home.alias("cell"), F.explode(F.when(F.col("core"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("part"))
+    visitors = marked.select("node", "copies", "vec", F.expr("substring(cells, 1, 4)").alias("cells"), "core", home.alias("home"), F.explode("visited").alias("cell"))
+    visitors = visitors.withColumn("part", (F.col("core") & (F.col("cell") == F.col("home"))).cast("int")).drop("core", "home")
+    keys = ["cell", "part"]
+    counts = residents.groupBy(*keys).agg(F.count(F.lit(1)).alias("r")).join(visitors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    counts = counts.select(*keys, F.expr(f"int(ceil(r / {RESIDENTS}))").alias("nr"), F.expr(f"int(ceil(n / {VISITORS}))").alias("nv"))
+    counts = sized(materialize(counts, "cells"))
+    deal = lambda df, own, other, flag: df.join(counts, keys).select(
+        *keys, F.expr(f"int(pmod(xxhash64(node, 3), {own}))").alias("mine"), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias("theirs"), "node", "copies", "vec", "cells", F.lit(flag).alias("resident"))
+    rest = ["node", "copies", "vec", "cells", "resident"]
+    both = deal(residents, "nr", "nv", True).select(*keys, F.col("mine").alias("br"), F.col("theirs").alias("bv"), *rest)
+    both = both.unionByName(deal(visitors, "nv", "nr", False).select(*keys, F.col("theirs").alias("br"), F.col("mine").alias("bv"), *rest))
+    out = by_unit(both, [*keys, "br", "bv"], _unit_links(threshold, kind), LINKED)
+    return out if near is None else out.unionByName(near)
+
+
 def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links (others linked directly), component_id
     (smallest vec_id reachable) and kept."""
     spark = vectors.sparkSession
     ship_package(spark)
+    single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
+    kind = "<f4" if single else "<f8"  # floats are exact in either
     e = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.exists(e, lambda x: x != 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.select("vec_id", F.when(good, e).alias("v"))
     rows = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    numbered, _ = number_rows(rows.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("valid")))
-    numbered = materialize(numbered.withColumnRenamed("first_no", "node"), "vectors")
-    ids = numbered.where("valid").select(F.col("vec_id").alias("i"), F.col("h1").alias("a"), F.col("h2").alias("b"), "node", "copies")
-    live = rows.where("v is not null").join(sized(ids), F.col("vec_id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).select("node", "copies", "v")
-    if not ids.where("copies > 1").isEmpty():
-        live = live.dropDuplicates(["node"])
-
-    n = ids.count()
-    drawn = ids.select("node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
-    picked = [np.asarray(r.v) for r in live.join(F.broadcast(drawn), "node").orderBy("node").select("v").collect()]
+    classes = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    first = classes.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.col("low").alias("i"), "node", "copies")
+    live = rows.where("v is not null").join(sized(first), F.col("vec_id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).select("node", "copies", "h1", "h2", "v")
+    if not classes.where("copies > 1").isEmpty():
+        live = live.dropDuplicates(["node"])  # rows that repeat the smallest id and its vector
+
+    n = classes.count()
+    drawn = classes.select("node").orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE)
+    picked = [np.asarray(r.v) for r in live.join(F.broadcast(drawn), "node").orderBy("h1", "h2").select("v").collect()]
     if picked:
         widths = np.bincount([len(x) for x in picked])
         books, visits = fit(unit(np.stack([x for x in picked if len(x) == widths.argmax()])), n, threshold, target)
@@ -180,26 +249,19 @@ def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD, target: float
                 x = [np.asarray(v, dtype=np.float64) for v in q["v"]]
                 rows = unit(np.concatenate([padded(unit(v[None, :]), size) for v in x]) + 1e-300)
                 cells = nearest_cells(rows, codes, count)
-                yield pd.DataFrame({"node": q["node"].to_numpy(), "copies": q["copies"].to_numpy(), "vec": [v.tobytes() for v in x], "cells": [c.tobytes() for c in cells], "visited": list(cells)})
+                yield pd.DataFrame({"node": q["node"].to_numpy(), "copies": q["copies"].to_numpy(), "vec": [v.astype(kind).tobytes() for v in x], "cells": [c.tobytes() for c in cells], "visited": list(cells)})
 
-    placed = materialize(live.mapInPandas(place, "node bigint, copies bigint, vec binary, cells binary, visited array<int>"), "placed")
-    visitors = placed.select("node", "copies", "vec", "cells", F.explode("visited").alias("cell"))
-    residents = placed.select("node", "copies", "vec", "cells", F.col("visited")[0].alias("cell"))
-    counts = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("r")).join(visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
-    counts = counts.select("cell", F.expr(f"int(ceil(r / {RESIDENTS}))").alias("nr"), F.expr(f"int(ceil(n / {VISITORS}))").alias("nv"))
-    counts = sized(materialize(counts, "cells"))
-    deal = lambda df, own, other, flag: df.join(counts, "cell").select(
-        "cell", F.expr(f"int(pmod(xxhash64(node, 3), {own}))").alias("mine"), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias("theirs"), "node", "copies", "vec", "cells", F.lit(flag).alias("resident"))
-    both = deal(residents, "nr", "nv", True).select("cell", F.col("mine").alias("br"), F.col("theirs").alias("bv"), "node", "copies", "vec", "cells", "resident")
-    both = both.unionByName(deal(visitors, "nv", "nr", False).select("cell", F.col("theirs").alias("br"), F.col("mine").alias("bv"), "node", "copies", "vec", "cells", "resident"))
-    links = materialize(by_unit(both, ["cell", "br", "bv"], _unit_links(threshold), LINKED), "links")
+    placed = materialize(live.select("node", "copies", "v").mapInPandas(place, "node bigint, copies bigint, vec binary, cells binary, visited array<int>"), "placed")
+    links = materialize(cell_links(placed, threshold, kind), "links")
 
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    low = groups.join(numbered.select("node", "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("low"))
-    out = numbered.join(degree, "node", "left").join(groups.join(low, "component").drop("component"), "node", "left")
-    out = materialize(out.select("vec_id", "copies", F.when(F.col("valid"), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("bigint").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id")), "nodes")
-    return expand(out, "copies").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    low = groups.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+    out = classes.join(degree, "node", "left").join(groups.join(low, "component").drop("component"), "node", "left")
+    out = materialize(out.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("links"), F.coalesce("least", "low").alias("least")), "nodes")
+    each = rows.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("valid")).join(out.withColumn("found", F.lit(True)), ["h1", "h2"], "left")
+    each = each.select("vec_id", F.when(F.col("valid"), F.col("links")).otherwise(0).cast("bigint").alias("n_links"), F.when(F.col("valid"), F.col("least")).otherwise(F.col("vec_id")).alias("component_id"))
+    return each.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_inverted_multi_index(spark, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int
     placed = draws.groupBy("sk", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("placements"))
     parts = materialize(parts.join(placed, ["sk", "block"], "left").select("sk", "block", "words", "need", "source_size", "target", "epochs", "placements"), "placed")
 
-    out = base.join(sized(parts), ["sk", "block"])
+    out = base.join(parts.hint("shuffle_hash"), ["sk", "block"])  # alike at every size: blocks grow with the input
     inside = Window.partitionBy("sk", "block").orderBy("rank", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = out.where("need > 0 and need < words").withColumn("left", F.col("need") - (F.sum(F.col("size") * F.col("copies")).over(inside) - F.col("size") * F.col("copies")))
     cut = cut.withColumn("extra", F.expr("if(size = 0, 0L, greatest(0L, least(copies, bigint(floor(left / size + 0.5)))))")).drop("left")

@@ -43,7 +43,7 @@ LENGTH = 200
 GRAM = 32
 DIGIT = 50
 HOT = 1000
-FEW = 200
+FEW = 100
 
 KEY = "f1 bigint, f2 int"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

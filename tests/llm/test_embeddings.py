@@ -64,3 +64,35 @@ def test_traversal_is_in_order(visits):
     cells = embeddings.nearest_cells(x, books, visits)
     whole = (embeddings.distances(x[:, :4], books[0])[:, :, None] + embeddings.distances(x[:, 4:], books[1])[:, None, :]).reshape(20, -1)
     assert (cells == np.argsort(whole, axis=1, kind="stable")[:, :visits]).all()
+
+
+def test_thousands_of_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    v, w = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(i, v.tolist(), 0) for i in range(20_000)] + [(30_000, (2 * v).tolist(), 0), (30_001, w.tolist(), 0)]
+    got = embeddings.cosine_links(spark.createDataFrame(rows, SCHEMA).repartition(8)).groupBy("n_links", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == sorted([(20_000, 0, False, 20_000), (20_000, 0, True, 1), (0, 30_001, True, 1)])
+
+
+@pytest.mark.parametrize("noise, core", [(0.02, True), (0.3, False)])
+def test_many_near_copies_in_one_cell(spark, noise, core):
+    """Close ones are counted around a centre, others compared; either is exact."""
+    rng = np.random.default_rng(8)
+    hot = rng.standard_normal(16)
+    rows = [(i, (hot + noise * rng.standard_normal(16)).tolist()) for i in range(1500)] + [(5000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    rows += [(9000 + i, (hot + 0.45 * rng.standard_normal(16)).tolist()) for i in range(100)]
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T) >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = {r.vec_id: r.n_links for r in embeddings.cosine_links(df).collect()}
+    found = np.array([got[i] for i, _ in rows])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert found[:1500].min() >= 1499 if core else found[:1500].min() < 1400
+
+
+def test_doubles_and_floats(spark):
+    rows = [(1, [0.1, 0.2, 0.3]), (2, [0.1, 0.2, 0.3000001]), (3, [-1.0, 0.0, 0.0])]
+    for kind in ("float", "double"):
+        got = embeddings.cosine_links(spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>"))
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
