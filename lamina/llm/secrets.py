@@ -1,17 +1,21 @@
 """Secret scans over an incremental blob ledger (native).
 
 Every version of a document is content-addressed by the SHA-256 of its text. The
-ledger is a table of (blob, rule, version, spans): a pair of blob and rule version
-that it has is never scanned again, so a rerun reads only new texts and a changed
-rule rescans with that rule alone. Findings are joined back from the ledger to all
-rows that hold the blob.
+ledger is a folder of (blob, spans) by batch, rule and rule version: a pair of blob and
+rule version that it has is never scanned again, so a rerun reads only new texts and a
+changed rule rescans with that rule alone. An update compares digests with the ledger's
+partitions of the rules in force; only texts of unseen pairs are shuffled and scanned. A
+batch is named by the pairs that it scans and written over, so that one that is run again
+after a failure replaces itself. Findings are joined back from the ledger to all rows that
+hold the blob.
 
 Matches are found by two passes over the texts that a rule's guard lets through:
 one cuts out the matches, one the gaps between them; positions are running sums of
 their lengths, taken by a window over a blob's matches.
 
-Each blob is scanned once: equal texts are combined before the shuffle, and the join
-back is a plain equi-join of digests, which Spark splits where one blob is hot.
+Each blob is scanned once, on the text of its row with the smallest id: texts are joined to
+unseen blobs by blob and id, so copies of a hot one don't meet. The join back is a plain
+equi-join of digests, which Spark splits where one blob is hot.
 
 Defined results: null text counts as empty and has no findings; equal rows get equal
 results; spans are in code points with the end exclusive; an empty table gives an
@@ -20,10 +24,12 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +60,7 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN ", plain=True, base=False),
 )
 
-LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
+LEDGER = "blob string, spans array<struct<start: bigint, end: bigint>>, batch string, rule string, version int"
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -81,25 +87,37 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return ended.groupBy("blob", "rule", "version").agg(F.array_sort(F.collect_list(kept)).alias("spans"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The whole ledger, empty where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def _in_force(rules: tuple[Rule, ...]) -> Column:
+    return reduce(Column.__or__, ((F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules))
+
+
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan the pairs of docs' blobs and rules that the ledger (a folder of Parquet
-    files) has not, append them, and return the whole ledger."""
+    """Scan the pairs of docs' blobs and rules that the ledger (a folder) has not, add
+    them as one batch, and return the whole ledger."""
     spark = docs.sparkSession
     text = text_or_empty()
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
-    if has_ledger(spark, ledger):
-        now = reduce(Column.__or__, ((F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules))
-        known = spark.read.schema(LEDGER).parquet(ledger).where(now).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(known, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size("seen") < len(rules))
-    else:
-        blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
-    scan(blobs, rules).write.mode("append").parquet(ledger)
-    return spark.read.schema(LEDGER).parquet(ledger)
-
-
-def has_ledger(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    digests = docs.select("doc_id", F.sha2(text, 256).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("rep"))
+    known = read_ledger(spark, ledger).where(_in_force(rules)).select("blob", "rule")
+    none = F.array().cast("array<string>")
+    seen = digests.join(known, "blob", "left").groupBy("blob", "rep").agg(F.collect_set("rule").alias("seen"))
+    todo = materialize(seen.where(F.size("seen") < len(rules)), "todo")
+    mark = todo.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("blob", F.array_sort("seen"))).alias("x")).first()
+    if mark.n:
+        rows = docs.select(F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+        blobs = rows.join(sized(todo), F.col("id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("blob"))).select("blob", "text", F.coalesce("seen", none).alias("seen")).dropDuplicates(["blob"])
+        name = hashlib.sha256(repr((mark.n, mark.x, sorted((r.name, r.version) for r in rules))).encode()).hexdigest()[:32]
+        scan(blobs, rules).write.mode("overwrite").partitionBy("rule", "version").parquet(f"{ledger}/batch={name}")
+    return read_ledger(spark, ledger)
 
 
 def find_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,8 +125,7 @@ def find_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     end) of all rules' spans in order."""
     whole = update_ledger(docs, ledger, rules)
     number = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
-    now = reduce(Column.__or__, ((F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules))
-    per_blob = whole.where(now).where("size(spans) > 0").select("blob", F.expr("spans"), number[F.col("rule")].alias("k"))
+    per_blob = whole.where(_in_force(rules)).where("size(spans) > 0").select("blob", F.expr("spans"), number[F.col("rule")].alias("k"))
     per_blob = per_blob.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("k").alias("k"), s["end"].alias("end")))))).alias("found"))
     per_blob = materialize(per_blob, "findings")  # so that the join below is split where a blob is hot
     rows = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("blob"))
@@ -121,8 +138,12 @@ def spans_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def op8_blob_ledger(spark, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the first sees the texts whose digest starts with 0 to 7,
+    the second all of them, of which it scans those that the first has not."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = find_secrets(docs, new_path(spark, "ledger"))
+    ledger = new_path(spark, "ledger")
+    update_ledger(docs.where(F.sha2(text_or_empty(), 256) < "8"), ledger)
+    rows = find_secrets(docs, ledger)
     count = lambda k: F.size(F.filter("found", lambda s: s["k"] == k)).cast("bigint")
     base = sum(r.base for r in RULES)
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(F.filter("found", lambda s: s["k"] < base)), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))

@@ -46,3 +46,31 @@ def test_only_unseen_pairs_are_scanned(spark, make):
 
 def test_empty_table(spark, make):
     assert secrets.find_secrets(make([]), new_path(spark, "ledger")).collect() == []
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, make):
+    path, docs = new_path(spark, "ledger"), make(TEXTS[:7])
+    secrets.update_ledger(docs, path)
+    once = secrets.read_ledger(spark, path).count()
+    # as after a failure between the write and whatever follows: the same pairs are unseen again
+    real = secrets.read_ledger
+    try:
+        secrets.read_ledger = lambda s, p: real(s, p + "-missing")
+        secrets.update_ledger(docs, path)
+    finally:
+        secrets.read_ledger = real
+    assert secrets.read_ledger(spark, path).count() == once
+    secrets.update_ledger(docs, path)
+    assert secrets.read_ledger(spark, path).select("batch").distinct().count() == 1
+
+
+def test_query_scans_in_two_batches(spark, make, tmp_path, monkeypatch):
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS * 2)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    scanned, real = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, rules: scanned.append(blobs.count()) or real(blobs, rules))
+    got = secrets.op8_blob_ledger(spark, str(tmp_path)).collect()
+    digests = {hashlib.sha256((t or "").encode()).hexdigest() for t in TEXTS}
+    early = sum(d < "8" for d in digests)
+    assert scanned == [early, len(digests) - early] and min(scanned) > 0
+    assert sorted((r.doc_id, r.spans, r.base_sha256) for r in got) == [(i, *brute(t)) for i, t, _ in rows]
