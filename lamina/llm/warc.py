@@ -1,13 +1,16 @@
 """Dictionary-compressed WARC archives.
 
-Each partition becomes one archive: a Zstandard dictionary is trained on the
-records that the archive starts with (SAMPLE_BYTES of them, SAMPLE_RECORD of each at
-most, so from eight records at least if it has them), embedded in a
-leading skippable frame (magic 0x184D2A5D), and every record is compressed alone
-with it, so any record can be read by its offset. Spark's own writer commits the
-files, on any file system that Spark knows and with its task-attempt protocol: the
-text format writes the frames' bytes as they are, and the separator between rows is
-an empty skippable frame, so that each file is a valid Zstandard stream.
+Each partition becomes archives of at most ARCHIVE_BYTES and ARCHIVE_ROWS: a Zstandard
+dictionary is built from the records that the archive starts with (SAMPLE_BYTES of them,
+SAMPLE_RECORD of each at most, so from eight records at least if it has them), embedded
+in a leading skippable frame (magic 0x184D2A5D), and every record, the warcinfo first, is
+compressed alone with it, so any record can be read by its offset. The dictionary is
+trained; where the records are too few or too short for that, it is the beginning of what
+they hold. Spark's own writer commits the files, on any file system that Spark knows and
+with its task-attempt protocol: the text format writes the frames' bytes as they are, and
+the separator between rows is an empty skippable frame, so that each file is a valid
+Zstandard stream. It rolls over to the next file after ARCHIVE_ROWS rows; an archive that
+is full before by its bytes is filled up with empty rows. Its files end in .txt.
 
 Records with equal payloads: the one with the smallest page_id is a response, the
 others are revisits of it. Only (digest, smallest id) of groups of two or more is
@@ -17,8 +20,7 @@ counted rows allow it, so a hot payload lands in no single task.
 Defined results: null html is an empty payload; a null page_id is kept, ranks after
 all others and is written without an id; rows that repeat both the smallest page_id
 and its payload are all responses; a null url is left out of the record; an empty
-table gives archives without records. An archive of under eight records or 8 KB, or
-on whose records training fails, has no dictionary frame.
+table gives archives without records.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ DICT_BYTES = 1 << 16
 SAMPLE_BYTES = 1 << 22
 SAMPLE_RECORD = SAMPLE_BYTES // 8
 SEGMENT = 1024
+ARCHIVE_BYTES, ARCHIVE_ROWS = 1 << 26, 1 << 14
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # archives don't depend on when they are written
 #: An empty skippable frame, as the text writer's line separator: all its bytes are ASCII.
@@ -84,11 +87,21 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple:
-    """A record's row of RECORDS; checks a response's payload against its digest."""
+def info_record() -> bytes:
+    """The record that an archive starts with."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:00000002-0000-4000-0000-000000000000>", f"WARC-Date: {DATE}".encode(), b"Content-Type: application/warc-fields", f"Content-Length: {len(block)}".encode()]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def parse(data: bytes) -> tuple | None:
+    """A record's row of RECORDS, None for the warcinfo; checks a response's payload
+    against its digest."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
     kind = fields[b"WARC-Type"].decode()
+    if kind == "warcinfo":
+        return None
     digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
     block = rest[: int(fields[b"Content-Length"])]
     payload = None
@@ -100,16 +113,18 @@ def parse(data: bytes) -> tuple:
     return page_of(fields[b"WARC-Record-ID"].decode()), url.decode() if url is not None else None, int(fields[b"X-Payload-Length"]), digest, kind, page_of(refers.decode()) if refers else None, payload
 
 
-def train_dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict | None:
-    """A dictionary of at most an eighth of the records' bytes that it is trained on."""
+def build_dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict | None:
+    """A dictionary of at most an eighth of the records' bytes; none of under 64 bytes."""
     cut = [r[:SAMPLE_RECORD] for r in records]
     size = min(DICT_BYTES, sum(map(len, cut)) // 8)
-    if len(cut) < 8 or size < SEGMENT:
-        return None
-    try:
-        return zstd.train_dictionary(size, cut, k=SEGMENT, d=8)
-    except zstd.ZstdError:
+    if size < 8:
         return None
+    if len(cut) >= 8 and size >= SEGMENT:
+        try:
+            return zstd.train_dictionary(size, cut, k=SEGMENT, d=8)
+        except zstd.ZstdError:
+            pass  # records with nothing in common
+    return zstd.ZstdCompressionDict(b"".join(cut)[:size], dict_type=zstd.DICT_TYPE_RAWCONTENT)
 
 
 def frames(records: Iterator[bytes]) -> Iterator[bytes]:
@@ -120,7 +135,7 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         size += min(len(r), SAMPLE_RECORD)
         if size >= SAMPLE_BYTES:
             break
-    trained = train_dictionary(first)
+    trained = build_dictionary(first)
     if trained:
         packed = zstd.ZstdCompressor(level=LEVEL).compress(trained.as_bytes())
         yield struct.pack("<II", DICT_MAGIC, len(packed)) + packed
@@ -132,6 +147,29 @@ def frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield compressor.compress(r)
 
 
+def archives(records: Iterator[bytes], most_bytes: int = ARCHIVE_BYTES, most_rows: int = ARCHIVE_ROWS) -> Iterator[bytes]:
+    """The rows of consecutive archives, ``most_rows`` of each but the last."""
+    held = next(records, None)
+    while held is not None:
+        given = size = rows = 0
+
+        def part() -> Iterator[bytes]:
+            nonlocal held, given
+            yield info_record()
+            while held is not None and given < most_rows - 2 and (size < most_bytes or not given):
+                given += 1
+                out, held = held, next(records, None)
+                yield out
+
+        for f in frames(part()):
+            size += len(f)
+            rows += 1
+            yield f
+        while held is not None and rows < most_rows:
+            rows += 1
+            yield b""
+
+
 def frame_end(data: memoryview, at: int) -> int:
     """Where the frame that starts at ``at`` ends, by its block headers."""
     top = bytes(data[at : at + 18])
@@ -163,7 +201,7 @@ def records(content: bytes) -> Iterator[bytes]:
             raise ValueError(f"no frame at byte {at}")
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, most_bytes: int = ARCHIVE_BYTES, most_rows: int = ARCHIVE_ROWS) -> None:
     """Write pages (page_id, url, html) as archives under path. Payloads of under
     min_bytes bytes are never revisits."""
     ship_package(pages.sparkSession)
@@ -182,7 +220,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                     yield record(none(page_id), url if isinstance(url, str) else None, bytes(html), sha1, none(first), bool(revisit))
 
         out, size = [], 0
-        for f in frames(every()):
+        for f in archives(every(), most_bytes, most_rows):
             out.append(f)
             size += len(f)
             if size > 1 << 22:
@@ -192,12 +230,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             yield pd.DataFrame({"value": out})
 
     ids = rows.withColumns({"page_id": F.col("page_id").cast("string"), "first_id": F.col("first_id").cast("string")})  # longs with nulls would become floats
-    ids.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    ids.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most_rows).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """The records of all archives under path, as RECORDS; without their payloads
-    unless asked for."""
+    unless asked for. A file is read whole: its size is bounded when it is written."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     names = [c.split()[0] for c in RECORDS.split(", ")]
@@ -206,7 +244,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
         for part in parts:
             for content in part["content"]:
                 rows, size = [], 0
-                for r in map(parse, records(bytes(content))):
+                for r in filter(None, map(parse, records(bytes(content)))):
                     rows.append(r if payload else (*r[:-1], None))
                     size += len(r[-1] or b"") if payload else 200
                     if size > 1 << 22:

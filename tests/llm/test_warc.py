@@ -51,7 +51,7 @@ def test_dictionary_leads_the_archive():
     assert list(warc.records(joined)) == data
 
 
-@pytest.mark.parametrize("long, short", [(5, 2000), (12, 0), (0, 40), (1, 7)])
+@pytest.mark.parametrize("long, short", [(5, 2000), (12, 0), (0, 40), (1, 7), (1, 0), (0, 1), (0, 3)])
 def test_dictionary_of_long_or_few_records(long, short):
     rng = random.Random(3)
     data = [" ".join(f"word{rng.randrange(3000)}" for _ in range(n)).encode() for n in [200_000] * long + [400] * short]
@@ -60,6 +60,23 @@ def test_dictionary_of_long_or_few_records(long, short):
     assert list(warc.records(warc.SEPARATOR.encode().join(frames))) == data
 
 
+@pytest.mark.parametrize("most_bytes, most_rows", [(1 << 26, 10), (20_000, 1 << 14)])
+def test_archives_are_bounded(spark, tmp_path, most_bytes, most_rows):
+    rng = random.Random(4)
+    rows = [(i, f"http://x/{i}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(400 if most_rows == 10 else 20_000))) for i in range(120)]
+    path = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), path, 0, most_bytes, most_rows)
+    files = [f.read_bytes() for f in sorted((tmp_path / "warc").glob("part-*"))]
+    assert len(files) >= (8 if most_rows == 10 else 4)
+    for data in files:
+        assert struct.unpack_from("<I", data)[0] == warc.DICT_MAGIC
+        every = list(warc.records(data))
+        assert b"warcinfo" in every[0] and len(every) <= most_rows - 1
+        assert most_rows == 10 or len(data) < most_bytes + warc.SAMPLE_BYTES + 8 * most_rows
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path, True).collect()}
+    assert got == {i: h for i, _, h in rows}
+
+
 def test_damage_is_found():
     frame = b"".join(warc.frames(iter([b"one record"])))
     with pytest.raises(ValueError, match="no frame"):
