@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -141,17 +141,27 @@ def split_quotas(spark: SparkSession, quotas: dict[int, int], n_shards: int, see
     return materialize(nodes.repartition(F.col("lo")).mapInPandas(leaves, "pool int, shard int, drawn bigint"), "tree")
 
 
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+def _rank(doc_id: str, digest: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, digest)
+
+
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = SEED, tree_seed: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, source, text digest) of docs:
     doc_id, source, digest (of the text), size, copies (equal rows), source_size,
     target, epochs (whole takes), extra (how many of the copies are taken once more)
-    and placements, an array of (epoch, shard). The tree's draws depend on tree_seed."""
+    and placements, an array of (epoch, shard); also its block: sk, block, bits (2**bits
+    blocks a source) and partial (whether the mix takes only some of the block's rows once
+    more). The tree's draws depend on tree_seed."""
     text = text_or_empty()
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
     base = base.groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("copies"))
     # A null source gets a key of its own, so that joins are plain equi-joins.
-    base = base.withColumn("sk", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
-    base = materialize(base.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id", "digest")), "mix")
+    base = base.withColumn("sk", _source_key(F.col("source")))
+    base = materialize(base.withColumn("rank", _rank("doc_id", "digest", seed)), "mix")
     total = base.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     bits = max(BLOCK_BITS, math.ceil(math.log2(max(1, total / BLOCK_WORDS))))
     base = base.withColumn("block", F.shiftrightunsigned("rank", 64 - bits))
@@ -179,7 +189,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int
     cut = out.where("need > 0 and need < words").withColumn("left", F.col("need") - (F.sum(F.col("size") * F.col("copies")).over(inside) - F.col("size") * F.col("copies")))
     cut = cut.withColumn("extra", F.expr("if(size = 0, 0L, greatest(0L, least(copies, bigint(floor(left / size + 0.5)))))")).drop("left")
     full = out.where("not (need > 0 and need < words)").withColumn("extra", F.expr("if(need > 0, copies, 0L)"))
-    return full.unionByName(cut).select("doc_id", "source", "digest", "size", "copies", "source_size", "target", "epochs", "extra", "placements")
+    partial = F.expr("need > 0 and need < words").alias("partial")
+    return full.unionByName(cut).select("doc_id", "source", "digest", "size", "copies", "source_size", "target", "epochs", "extra", "placements", "sk", "block", F.lit(bits).alias("bits"), partial)
 
 
 def taken_by_row(plan: DataFrame, seed: int = SEED) -> DataFrame:
@@ -198,19 +209,29 @@ def taken_by_row(plan: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: docs' columns, every document as often as it is taken, dealt
-    to output shards and shuffled inside each."""
+    to output shards and shuffled inside each. plan is plan_mix's of docs and seed. A row
+    finds its block by its own hash; only rows of the blocks that are taken in part, one
+    a source, are looked up one by one. Texts are shuffled once, to their shards."""
     names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("k_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_null"), F.xxhash64(text_or_empty()).alias("k_digest"))
-    plan = materialize(plan.where("epochs > 0 or extra > 0").select(
-        F.col("doc_id").alias("p_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_null"), F.col("digest").alias("k_digest"), "copies", "epochs", "extra", "placements"), "plan")
-    joined = keyed.join(sized(plan), (keyed.k_id.eqNullSafe(plan.p_id)) & (keyed.k_source == plan.k_source) & (keyed.k_null == plan.k_null) & (keyed.k_digest == plan.k_digest)).select("row", keyed.k_id, keyed.k_digest, "copies", "epochs", "extra", "placements")
-    if not plan.where("copies > 1").isEmpty():  # equal rows are taken by number, from one of them
-        one = joined.where("copies = 1")
-        many = joined.where("copies > 1").groupBy("k_id", "k_digest", F.xxhash64("row.source").alias("k_s")).agg(*(F.first(c).alias(c) for c in ("row", "copies", "epochs", "extra", "placements"))).drop("k_s")
-        joined = one.unionByName(many.select(*one.columns))
-    draws = joined.select("row", "k_id", "k_digest", "copies", "epochs", "extra", F.explode("placements").alias("at"))
-    draws = draws.withColumn("times", F.when(F.col("at.epoch") < F.col("epochs"), F.col("copies")).otherwise(F.col("extra"))).where("times > 0")
-    draws = expand(draws, "times").withColumn("shard", F.col("at.shard"))
+    plan = materialize(plan.where("size(placements) > 0"), "plan")
+    some = plan.select("bits").first()
+    if some is None:
+        return docs.limit(0)
+    blocks = materialize(plan.groupBy("sk", "block").agg(F.first("partial").alias("partial"), F.first("placements").alias("placements")), "blocks")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("k_id"), _source_key(F.col("source").cast("string")).alias("sk"), F.xxhash64(text_or_empty()).alias("k_digest"))
+    keyed = keyed.withColumn("block", F.shiftrightunsigned(_rank("k_id", "k_digest", seed), 64 - some.bits))
+    columns = ["row", "k_id", "k_digest", "times", "at"]
+    whole = keyed.join(sized(blocks.where("not partial").drop("partial")), ["sk", "block"]).withColumn("times", F.lit(1).cast("bigint")).withColumn("at", F.explode("placements")).select(*columns)
+
+    part = plan.where("partial").select(F.col("sk").alias("p_sk"), F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"), "copies", "epochs", "extra", "placements")
+    part = materialize(part.where("epochs > 0 or extra > 0"), "partial")
+    found = keyed.join(sized(part), keyed.k_id.eqNullSafe(part.p_id) & (keyed.sk == part.p_sk) & (keyed.k_digest == part.p_digest))
+    # Equal rows are taken by number, from one of them.
+    one = found.where("copies = 1").select("row", "k_id", "k_digest", "copies", "epochs", "extra", "placements")
+    many = found.where("copies > 1").groupBy("sk", "k_id", "k_digest").agg(*(F.first(c).alias(c) for c in ("row", "copies", "epochs", "extra", "placements")))
+    taken = one.unionByName(many.select(*one.columns)).withColumn("at", F.explode("placements"))
+    taken = taken.withColumn("times", F.when(F.col("at.epoch") < F.col("epochs"), F.col("copies")).otherwise(F.col("extra"))).where("times > 0").select(*columns)
+    draws = expand(taken, "times").unionByName(whole.withColumn("copy", F.lit(0).cast("bigint"))).withColumn("shard", F.col("at.shard"))
     draws = draws.repartition(F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "k_id", "k_digest", "at.epoch", "copy"))
     return draws.select(*(F.col(f"row.`{c}`").alias(c) for c in names))
 
