@@ -1,8 +1,8 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of token n-grams (unigrams, bigrams, and one for the
-trigrams of three equal tokens, whatever the token), hashed to 2**BITS buckets. A token is a run of letters and digits, or a run of other visible
-characters; case counts. Each indicator is scaled by its class log-count ratio
+Features are indicators of token n-grams (unigrams and bigrams), hashed to 2**BITS
+buckets. A token is a run of letters and digits, or a run of other visible characters;
+case counts. Each indicator is scaled by its class log-count ratio
 ``log((p / |p|) / (q / |q|))`` and a linear L2-regularised hinge-loss model is fitted
 on the scaled indicators by dual coordinate descent; its weights are interpolated
 with their mean size, and the margin goes through a logistic function.
@@ -34,15 +34,13 @@ from .tokens import token_hashes
 BITS = 20
 MAX_TRAIN = 6000
 
-THRICE = np.array([0x243F6A8885A308D3], dtype=np.uint64)
 _MUL = 0x9E3779B97F4A7C15
 
 
 def features(data: bytes, bits: int = BITS) -> np.ndarray:
     """Sorted distinct feature numbers of a text: its unigrams and bigrams."""
     t = token_hashes(data)
-    same = t[1:] == t[:-1]
-    both = np.concatenate([t, (t[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + t[1:]) ^ np.uint64(0x5851F42D), THRICE[: int((same[1:] & same[:-1]).any())]]) if len(t) else t
+    both = np.concatenate([t, (t[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + t[1:]) ^ np.uint64(0x5851F42D)]) if len(t) else t
     mixed = (both ^ (both >> np.uint64(29))) * np.uint64(_MUL)
     return np.unique((mixed >> np.uint64(64 - bits)).astype(np.int32))
 
@@ -111,7 +109,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     usable = labels.where("quality in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "quality")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").select("quality", "text")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    # of rows that repeat an id, the text with the least hash is taken: max_train bounds the rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("quality", "text")
 
     def extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

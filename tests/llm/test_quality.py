@@ -1,6 +1,9 @@
+import math
 import random
+import zlib
 
 import numpy as np
+import pytest
 
 from lamina.llm import quality
 from lamina.llm.tokens import token_hashes
@@ -67,3 +70,65 @@ def test_no_labels_and_empty_table(spark, make):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert [r.score for r in quality.score_documents(make(["a", None]), quality.train(make(["a"]), none)).collect()] == [0.5, 0.5]
     assert quality.score_documents(make([]), quality.train(make([]), none)).collect() == []
+
+
+def test_words_between_other_white_space(text):
+    from lamina.llm.tokens import shingles
+
+    words = [f"w{i}" for i in range(400_000)]
+    assert len(token_hashes("\n".join(words).encode())) == len(words)
+    assert (token_hashes("\n".join(words).encode()) == token_hashes(" ".join(words).encode())).all()
+    long = b"a " + b"x" * 5_000_000 + b" b"
+    assert len(token_hashes(long)) == 3 and token_hashes(long)[1] == token_hashes(b"x" * 5_000_000)[0] != token_hashes(b"x" * 4_999_999)[0]
+    assert len(shingles("\n".join(words))) == len(words) - 4
+
+
+def plain_features(t):
+    """The feature numbers of a text, a token at a time."""
+    mask = (1 << 64) - 1
+    h = [int(x) for x in token_hashes(t.encode())]
+    both = h + [((a * 0xC2B2AE3D27D4EB4F + b) & mask) ^ 0x5851F42D for a, b in zip(h, h[1:])]
+    return sorted({(((x ^ (x >> 29)) * 0x9E3779B97F4A7C15) & mask) >> (64 - quality.BITS) for x in both})
+
+
+def test_query_equals_a_plain_version(spark, make, text, tmp_path):
+    good, bad = data(text, 90, 5)
+    texts = [*good, *bad, None, "", "only new words here", "$$$ ### !!"]
+    make(texts).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    make(texts).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(texts))]
+    label = {i: int(i < len(good)) for i in range(len(good) + len(bad))}
+    schema = "doc_id bigint, quality int, toxic int"
+    spark.createDataFrame([(i, y, 0) for i, y in label.items()], schema).write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    # labels of held-out rows turned around: no score may change
+    spark.createDataFrame([(i, 1 - y if held[i] else y, 0) for i, y in label.items()], schema).write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    got = {r.doc_id: r for r in quality.op2_quality_classifier(spark, str(tmp_path / "a")).collect()}
+    again = {r.doc_id: r for r in quality.op2_quality_classifier(spark, str(tmp_path / "b")).collect()}
+    assert got == again and len(got) == len(texts)
+
+    train = sorted((label[i], np.array(plain_features(texts[i]), np.int32).tobytes()) for i in label if not held[i])
+    rows, y = [np.frombuffer(f, np.int32) for _, f in train], np.array([q for q, _ in train])
+    j0 = int(rows[0][0])
+    count = {k: sum(j0 in r for r, v in zip(rows, y) if v == k) for k in (0, 1)}
+    ratio = quality.log_count_ratios(rows, y)
+    total = {k: sum(len(r) for r, v in zip(rows, y) if v == k) + (1 << quality.BITS) for k in (0, 1)}
+    assert ratio[j0] == pytest.approx(math.log((1 + count[1]) / total[1]) - math.log((1 + count[0]) / total[0]))
+    w, bias = quality.dual_coordinate_descent(rows, ratio, y)
+    used = w != 0
+    w[used] = 0.75 * w[used] + 0.25 * np.abs(w[used]).mean() * np.sign(w[used])
+    for i, t in enumerate(texts):
+        f = plain_features(t or "")
+        norm = math.sqrt(sum(ratio[j] ** 2 for j in f))
+        m = bias + (sum(ratio[j] * w[j] for j in f) / norm if norm else 0)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-2 * max(-30, min(30, m)))), abs=1e-4)
+        assert (got[i].held_out, got[i].predicted) == (held[i], int(got[i].score >= 0.5))
+    tested = [i for i in label if held[i]]
+    assert sum(got[i].predicted == label[i] for i in tested) / len(tested) > 0.95
+
+
+def test_repeated_ids_do_not_widen_the_training_set(spark, make, text):
+    good, bad = data(text, 30, 6)
+    docs = make([(i % 10, t, "s") for i, t in enumerate(good + bad)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, quality int")
+    assert quality.training_rows(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(10))
+    assert quality.training_rows(docs, labels, 2).count() == 2
