@@ -6,7 +6,7 @@ documents keeps the shingles that any window has, with their positions. Shingles
 ordered by rarity among all documents; containment of a whole window needs each of
 its shingles, so its prefix is the single rarest one, and only that is joined. A
 candidate start must leave room for the whole window (positional and length bounds),
-and is then verified word by word on the text.
+and is then verified word by word on the text, all candidates of a document at once.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. Shingle hashes
 only find candidates; what counts as a hit is compared as text.
@@ -77,8 +77,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     ]
     if not tokens:
         n = scan(docs, docs.sparkSession.createDataFrame([], "shingle bigint, known boolean"), [])
-        none = docs.sparkSession.createDataFrame([], "start int, len int, win string")
-        return n.drop("at", "shingle"), n.select("doc_id", "digest").limit(0).crossJoin(none), items
+        none = n.limit(0).select("doc_id", "digest", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("len", "int"), ("win", "string"))))
+        return n.drop("at", "shingle"), none, items
     tokens = materialize(reduce(DataFrame.unionByName, tokens), "tokens")
     known = materialize(tokens.select("shingle").distinct().withColumn("known", F.lit(True)), "known")
     seen = materialize(scan(docs, known, kinds), "scan")
@@ -91,14 +91,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     prefix = ranked.groupBy("win", "len").agg(first, F.count(F.lit(1)).alias("got")).join(whole, "win").where("got = needed")
     prefix = materialize(prefix.select("win", "len", "p.shingle", "p.offset"), "prefix")
     cand = found.join(sized(prefix), "shingle").withColumn("start", F.col("at") - F.col("offset"))
-    cand = materialize(cand.where("start >= 0 and start + len <= n_words").select("doc_id", "digest", "start", "len", "win").distinct(), "candidates")
-
-    keys = materialize(cand.select(F.col("doc_id").alias("c_id"), F.col("digest").alias("c_digest")).distinct(), "keys")
+    cand = cand.where("start >= 0 and start + len <= n_words")
+    per = cand.groupBy(F.col("doc_id").alias("c_id"), F.col("digest").alias("c_digest")).agg(F.collect_set(F.struct("start", "len", "win")).alias("cands"))
+    per = materialize(per, "candidates")
     d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
-    d = d.join(sized(keys), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest")), "left_semi")
-    d = d.select(F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"), words(F.col("text")).alias("w"))
-    checked = cand.join(d, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).where("array_join(slice(w, start + 1, len), ' ') = win")
-    out = materialize(checked.select("doc_id", "digest", "start", "len", "win").distinct(), "hits")
+    d = d.join(sized(per), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest"))).select("doc_id", "digest", words(F.col("text")).alias("w"), "cands")
+    good = F.expr("filter(cands, c -> array_join(slice(w, c.start + 1, c.len), ' ') = c.win)")
+    out = materialize(d.select("doc_id", "digest", F.inline(good)).distinct(), "hits")
     return seen.where("at < 0").select("doc_id", "digest", "n_words"), out, items
 
 
