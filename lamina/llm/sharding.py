@@ -77,8 +77,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 20_240_501)
 
 
 def shard_table(docs: DataFrame, n_shards: int = 40, seed: int = 20_240_501) -> DataFrame:
-    """docs with shard and slot. Positions are computed from digests; a row's columns are
-    shuffled once, and equal rows travel as one."""
+    """docs with shard and slot, which replace columns of those names. Positions are
+    computed from digests; a row's columns are shuffled once, and equal rows travel as one."""
     names = docs.columns
     text = text_or_empty()
     key = ["k_id", "k_size", "k_crc", "k_row"]

@@ -25,28 +25,31 @@ _WORDS = np.where(_CLASS == 1, 1, 0).astype(np.uint8)
 
 def token_hashes(data: bytes, marks: bool = True) -> np.ndarray:
     """64-bit hashes of a text's tokens, in order: runs of letters and digits and, if
-    ``marks``, runs of other visible characters. Tokens over PIECE bytes are cut."""
+    ``marks``, runs of other visible characters. Pieces end where a run does; a longer
+    run makes its piece longer."""
     classes = _CLASS if marks else _WORDS
     out = []
-    at = 0
+    at, size = 0, PIECE
     while at < len(data):
-        end = at + PIECE
-        if end < len(data):
-            space = data.rfind(b" ", at, end)
-            end = space if space > at else end
-        a = np.frombuffer(data, dtype=np.uint8, count=min(end, len(data)) - at, offset=at)
+        a = np.frombuffer(data, dtype=np.uint8, count=min(size, len(data) - at), offset=at)
         kind = classes[a]
         edge = np.empty(len(a) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
         cuts = np.flatnonzero(edge)
+        if at + len(a) < len(data):  # the last run may go on
+            if len(cuts) == 2:
+                size *= 2
+                continue
+            cuts = cuts[:-1]
+        up, down = (_UP, _DOWN) if len(a) <= PIECE else (powers(_ODD, len(a)), powers(_INV, len(a)))
         starts, ends = cuts[:-1], cuts[1:]
         keep = kind[starts] > 0
         starts, ends = starts[keep], ends[keep]
         sums = np.zeros(len(a) + 1, dtype=np.uint64)
-        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _UP[: len(a)], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * _DOWN[starts])
-        at = end
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
+        out.append((sums[ends] - sums[starts]) * down[starts])
+        at, size = at + int(cuts[-1]), PIECE
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
