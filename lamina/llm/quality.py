@@ -9,8 +9,8 @@ with their mean size, and the margin goes through a logistic function.
 
 The classifier is fitted on at most ``max_train`` labelled rows (those with the
 smallest hash of their id, not the first ones); scoring reads every whole text.
-What reaches the driver is those rows' hashed features; what is broadcast is the
-weight vector of 2**BITS floats, whatever the input's size. Texts are worked on in
+One task fits on those rows' hashed features; what reaches the driver and is broadcast
+is the model, two vectors of 2**BITS floats, whatever the input's size. Texts are worked on in
 bounded pieces, so memory is bounded by the longest text's tokens.
 
 Defined results: null text counts as empty; an empty text gets the bias alone;
@@ -121,8 +121,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
-    got = sorted((int(r.quality), bytes(r.f)) for r in training_rows(docs, labels, max_train).collect())
-    return fit([np.frombuffer(f, dtype=np.int32) for _, f in got], np.array([y for y, _ in got], dtype=np.int64))
+    """The model of fit, from rows in an order of their own."""
+
+    def one(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted((int(y), bytes(f)) for p in parts for y, f in zip(p["quality"], p["f"]))
+        squares, weights, bias = fit([np.frombuffer(f, dtype=np.int32) for _, f in got], np.array([y for y, _ in got], dtype=np.int64))
+        yield pd.DataFrame({"squares": [squares.tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
+
+    r = training_rows(docs, labels, max_train).repartition(1).mapInPandas(one, "squares binary, weights binary, bias double").first()
+    return np.frombuffer(r.squares, np.float32), np.frombuffer(r.weights, np.float32), float(r.bias)
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[pd.Series], pd.Series]:
