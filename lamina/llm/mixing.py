@@ -69,12 +69,12 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) ->
 
 
 def source_quotas(sources: DataFrame, weights: tuple[float, ...], seed: int) -> DataFrame:
-    """The quota rows of ``sources`` (a written table of sk, source and size s) by the
+    """The quota rows of ``sources`` (sk, source and size s) by the
     rule of ``targets``, of which only sums reach the driver. Each round raises the
     water level by what the sources that it caps can't take."""
     ranked = rank_rows(sources.select("sk", "s", "source", F.col("source").isNull().alias("none")), [("none", True), ("source", True)])
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    weighed = materialize(ranked.select("sk", "s", weight.alias("w")), "weights")
+    weighed = ranked.select("sk", "s", weight.alias("w"))
     sums = (F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
     every = weighed.agg(*sums).first()
     level, capped = every.s / every.w if every.n else 0.0, 0
@@ -87,7 +87,7 @@ def source_quotas(sources: DataFrame, weights: tuple[float, ...], seed: int) ->
     pool = F.pmod(F.xxhash64("sk", F.lit(seed + 2)), F.lit(POOLS)).cast("int")
     quota = weighed.select("sk", pool.alias("pool"), F.col("s").alias("source_size"), F.least(wanted, (MAX_EPOCHS * F.col("s")).cast("double")).alias("target"))
     quota = quota.withColumn("epochs", F.expr("if(source_size = 0, 0, int(floor(target / source_size)))"))
-    return materialize(quota.withColumn("rest", F.expr("target - epochs * source_size")), "quota")
+    return quota.withColumn("rest", F.expr("target - epochs * source_size"))
 
 
 def _room(lo: int, hi: int, total: int, n_shards: int) -> int:
@@ -166,11 +166,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int
     bits = max(BLOCK_BITS, math.ceil(math.log2(max(1, total / BLOCK_WORDS))))
     base = base.withColumn("block", F.shiftrightunsigned("rank", 64 - bits))
     blocks = materialize(base.groupBy("sk", "source", "block").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), "blocks")
-    per_source = materialize(blocks.groupBy("sk", "source").agg(F.sum("words").alias("s")), "sources")
-    quota = source_quotas(per_source, weights, seed)
+    quota = source_quotas(blocks.groupBy("sk", "source").agg(F.sum("words").alias("s")), weights, seed)
 
     order = Window.partitionBy("sk").orderBy(F.xxhash64("sk", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
-    parts = blocks.join(sized(quota), "sk").withColumn("need", F.col("rest") - (F.sum("words").over(order) - F.col("words")))
+    parts = blocks.join(quota, "sk").withColumn("need", F.col("rest") - (F.sum("words").over(order) - F.col("words")))
     parts = materialize(parts.withColumn("drawn", F.col("epochs") + (F.col("need") > 0).cast("int")), "parts")
 
     quotas = {r.pool: r.q for r in parts.groupBy("pool").agg(F.sum("drawn").alias("q")).collect()}  # POOLS rows at most
