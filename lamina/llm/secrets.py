@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, new_path, sized, text_or_empty
+from .common import BROADCAST_BYTES, materialize, new_path, sized, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -113,8 +113,10 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     todo = materialize(seen.where(F.size("seen") < len(rules)), "todo")
     mark = todo.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("blob", F.array_sort("seen"))).alias("x")).first()
     if mark.n:
-        rows = docs.select(F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-        blobs = rows.join(sized(todo), F.col("id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("blob"))).select("blob", "text", F.coalesce("seen", none).alias("seen")).dropDuplicates(["blob"])
+        # Texts are shuffled once, to their blob and id, whether the unseen blobs are few enough to be broadcast or not.
+        rows = docs.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text")).withColumn("place", F.xxhash64("blob", "doc_id")).drop("doc_id")
+        unseen = todo.select("blob", F.xxhash64("blob", F.col("rep").alias("doc_id")).alias("place"), F.coalesce("seen", none).alias("seen"))
+        blobs = rows.join(sized(unseen, BROADCAST_BYTES // 8), ["blob", "place"]).dropDuplicates(["blob", "place"]).drop("place")
         name = hashlib.sha256(repr((mark.n, mark.x, sorted((r.name, r.version) for r in rules))).encode()).hexdigest()[:32]
         scan(blobs, rules).write.mode("overwrite").partitionBy("rule", "version").parquet(f"{ledger}/batch={name}")
     return read_ledger(spark, ledger)
