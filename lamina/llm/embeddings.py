@@ -257,6 +257,7 @@ def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD, target: float
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     low = groups.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+    low = sized(materialize(low, "low"))
     out = classes.join(degree, "node", "left").join(groups.join(low, "component").drop("component"), "node", "left")
     out = materialize(out.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("links"), F.coalesce("least", "low").alias("least")), "nodes")
     each = rows.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("valid")).join(out.withColumn("found", F.lit(True)), ["h1", "h2"], "left")
