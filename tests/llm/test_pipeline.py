@@ -87,4 +87,23 @@ def test_each_stage_against_its_own_input(spark, stages, planted):
 
 
 def test_run(spark, stages, planted):
-    assert stages.run(spark, planted[0]).count() > 100
+    rows = stages.run(spark, planted[0]).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{planted[0]}/documents.parquet").collect()}
+    assert len(rows) > 100 and all(texts[r.doc_id] == r.text for r in rows)
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows)
+    assert not {r.doc_id for r in rows} & {200, 201, 202, 203, *range(204, 209)}  # copies and leaks
+
+
+def test_run_on_no_rows_and_on_clashing_columns(spark, stages, planted, make, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{planted[0]}/{name}.parquet").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+        spark.read.parquet(f"{planted[0]}/{name}.parquet").write.parquet(str(tmp_path / "wide" / f"{name}.parquet"))
+    make([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert stages.run(spark, str(tmp_path / "none")).collect() == []
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{planted[0]}/documents.parquet").collect()]
+    wide = make(docs, extra=True)
+    wide.write.parquet(str(tmp_path / "wide" / "documents.parquet"))
+    out = stages.run(spark, str(tmp_path / "wide"))
+    assert out.columns == [*(c for c in wide.columns if c not in ("shard", "slot")), "shard", "slot"]
+    plain = Counter(r.doc_id for r in stages.run(spark, planted[0]).collect())
+    assert Counter(r.doc_id for r in out.collect()) == plain
