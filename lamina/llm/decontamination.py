@@ -95,7 +95,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     per = cand.groupBy(F.col("doc_id").alias("c_id"), F.col("digest").alias("c_digest")).agg(F.collect_set(F.struct("start", "len", "win")).alias("cands"))
     per = materialize(per, "candidates")
     d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
-    d = d.join(sized(per), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest"))).select("doc_id", "digest", words(F.col("text")).alias("w"), "cands")
+    # Texts without candidates are left out by ids and digests alone, before the others are shuffled.
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest"))
+    d = d.join(sized(per.select("c_id", "c_digest")), same, "left_semi")
+    d = d.join(per, same).select("doc_id", "digest", words(F.col("text")).alias("w"), "cands")
     good = F.expr("filter(cands, c -> array_join(slice(w, c.start + 1, c.len), ' ') = c.win)")
     out = materialize(d.select("doc_id", "digest", F.inline(good)).distinct(), "hits")
     return seen.where("at < 0").select("doc_id", "digest", "n_words"), out, items
