@@ -9,10 +9,11 @@ is spread over as many tasks as it needs. Every path is linked to the first one
 longest node that it shares, which is one row a path and no pair of members.
 
 The join starts with whole paths and shortens the matched prefix level by level until
-the measured recall reaches the target: on MEASURED links drawn by a hash, each pair
-that seems similar enough counts 1 / P(a pair that similar meets at this level). The
-level at which even pairs exactly at the threshold meet with the target probability
-ends the search.
+a pair as similar as the least similar link of the forest meets with the target
+probability. Every link is compared, so many close copies can't hide a few looser ones.
+The level at which even pairs exactly at the threshold meet with the target probability
+ends the search; one link of ends that aren't similar leads there, because paths that
+are similar may be linked by way of it only.
 
 Classes that are reachable over links of that level are a cluster, and all its pairs
 are verified on whole shingle sets. A cluster is cut into blocks by the bytes of its
@@ -49,8 +50,6 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.998
 DEPTH, SHORTEST = 8, 4
 TREES = 16
-#: Links that the recall of a level is measured on.
-MEASURED = 20_000
 #: Signatures of a pair at the threshold agree in fewer values than agree_bound with at most this probability.
 UNVERIFIED = 1.1e-6
 CHUNK = 4096
@@ -209,24 +208,20 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def choose_level(links: DataFrame, classes: DataFrame, threshold: float, trees: int, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with which the measured recall reaches the target."""
-    least = max([k for k in range(SHORTEST, DEPTH + 1) if meeting(threshold, k, trees) >= target], default=SHORTEST)
-    drawn = F.broadcast(links.orderBy(F.xxhash64("a", "b"), "a", "b").limit(MEASURED))  # of fixed-size rows
-    both = classes.select(F.col("node").alias("a"), F.col("sig").alias("s")).join(drawn, "a")
-    both = classes.select(F.col("node").alias("b"), F.col("sig").alias("s2")).join(F.broadcast(both), "b")
+    """The longest prefix with which pairs like the least similar of all links meet with
+    the target probability; pairs at the threshold count where a link is below it."""
+    reaches = lambda similarity, least: max([k for k in range(least, DEPTH + 1) if meeting(similarity, k, trees) >= target], default=least)
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = classes.select("node", "sig").join(sized(ends), "node").groupBy("a", "b").agg(F.min("sig").alias("s"), F.max("sig").alias("s2"))
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            same = [int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) for x, y in zip(p["s"], p["s2"])]
-            yield pd.DataFrame({"level": p["level"], "same": same})
-
-    seen = both.mapInPandas(compare, "level int, same int").groupBy("level", "same").agg(F.count(F.lit(1)).alias("n")).collect()  # DEPTH * values rows at most
-    for k in range(DEPTH, least, -1):
-        similar = [(r.n, max(threshold, r.same / (trees * DEPTH))) for r in seen if r.level >= k and r.same >= threshold * trees * DEPTH]
-        found = sum(n for n, _ in similar)
-        if found and found >= target * sum(n / meeting(s, k, trees) for n, s in similar):
-            return k
-    return least
+            if len(p):
+                x, y = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(len(p), -1) for c in ("s", "s2"))
+                yield pd.DataFrame({"same": [int((x == y).sum(axis=1).min())]})
+
+    same = both.select("s", "s2").mapInPandas(compare, "same int").agg(F.min("same")).first()[0]
+    return reaches(threshold if same is None else max(threshold, same / (trees * DEPTH)), reaches(threshold, SHORTEST))
 
 
 def _blocks(size: str) -> str:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import jaccard
 
@@ -90,6 +91,24 @@ def test_prefix_is_shortened_until_the_target(spark, target, level):
     assert jaccard.choose_level(links.limit(0), classes, 0.8, 16, target) == level
 
 
+def test_one_loose_link_among_many_close_ones_decides_the_level(spark):
+    """30,000 links of equal signatures and one of a pair at 0.8, the last in the order of a hash."""
+    sig = lambda k: b"".join((x if x % 5 < 4 or not k else 60_000 + x).to_bytes(2, "little") for x in range(128))
+    links = spark.range(30_000).selectExpr("id div 150 a", "1000 + id % 150 b", "8 level")
+    loose = spark.range(200_000).selectExpr("5000 + id a", "300000 + id b", "8 level").orderBy(F.xxhash64("a", "b").desc()).limit(1)
+    assert loose.select(F.xxhash64("a", "b")).first()[0] > links.select(F.xxhash64("a", "b").alias("h")).orderBy("h").collect()[20_000].h
+    ids = [*range(200), *range(1000, 1150)]
+    classes = spark.createDataFrame([*((i, sig(0)) for i in ids), *zip(loose.first()[:2], (sig(0), sig(1)))], "node bigint, sig binary")
+    assert jaccard.choose_level(links, classes, 0.79, 16) == 8
+    assert jaccard.choose_level(links.unionByName(loose), classes, 0.79, 16) == 5
+
+
+def test_pairs_at_the_threshold_beside_thousands_of_close_copies(make, crowded):
+    rows, want = crowded
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_links(make(rows)).collect()}
+    assert [got[i] for i, _, _ in rows] == want
+
+
 @pytest.mark.parametrize("threshold, bound", [(0.8, 57), (0.6, 35), (0.5, 25), (1.0, 96)])
 def test_bound_of_the_signatures_follows_the_threshold(threshold, bound):
     assert jaccard.agree_bound(threshold, 96) == bound
