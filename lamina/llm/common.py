@@ -7,7 +7,7 @@ import zipfile
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +33,28 @@ def _width(col: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def measured_bytes(df: DataFrame) -> int:
+def counted(df: DataFrame, what: str = "table") -> tuple[DataFrame, int]:
+    """The written table of df, and its number of rows. The write counts them, so that
+    no query has to: the driver's memory grows with the queries that a session has run."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), what)
+    return table, seen.get["n"]
+
+
+def measured_bytes(df: DataFrame, rows: int | None = None) -> int:
     """Bytes that df's values take in memory, about: counted, not estimated from files. Rows
-    of a fixed width are only counted, which reads footers."""
+    of a fixed width are only counted, which reads footers, unless their number is given."""
     if not any(isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType) for f in df.schema):
-        return df.count() * (16 + 8 * len(df.schema))
+        return (df.count() if rows is None else rows) * (16 + 8 * len(df.schema))
     row = reduce(Column.__add__, (_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
     return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
 
 
-def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def sized(df: DataFrame, most: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
     """Broadcast df when its values take at most ``most`` bytes, else leave the join to
-    Spark. df should be a written table, so that measuring it reads columns only."""
-    return F.broadcast(df) if measured_bytes(df) <= most else df
+    Spark. df should be a written table, so that measuring it reads columns only; ``rows``
+    is its number of rows, where that is known."""
+    return F.broadcast(df) if measured_bytes(df, rows) <= most else df
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship_package, sized, text_or_empty
+from .common import counted, materialize, ship_package, sized, text_or_empty
 from .pairs import by_unit, components, linked
 from .tokens import mix, shingles
 
@@ -328,8 +328,8 @@ def verified(members: DataFrame, threshold: float, agree: int) -> DataFrame:
     if large.isEmpty():
         return out
     sizes = large.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.first("blocks").alias("blocks"))
-    sizes = materialize(sizes, "large")
-    some = large.join(sized(sizes.select("component", "members")), "component").where(f"pmod(xxhash64(node, 11), members) < {CENTRE}")
+    sizes, n = counted(sizes, "large")
+    some = large.join(sized(sizes.select("component", "members"), rows=n), "component").where(f"pmod(xxhash64(node, 11), members) < {CENTRE}")
     centres = by_unit(some.select("component", "shingles"), ["component"], _centre, "component bigint, centre binary")
     centres = materialize(sizes.join(centres, "component").select("component", "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "centres")
     placed = large.join(sized(centres), ["component", "block"], "left").select(*(c.split()[0] for c in MEMBER.split(", ")), "centre")
@@ -337,8 +337,8 @@ def verified(members: DataFrame, threshold: float, agree: int) -> DataFrame:
 
     far_bytes = F.sum(F.when(~F.col("core"), F.octet_length("shingles") + F.octet_length("sig") + MEMBER_BYTES)).alias("bytes")
     kinds = placed.groupBy("component").agg(F.min(F.when(F.col("core"), F.col("node"))).alias("root"), F.sum(F.when(F.col("core"), F.col("copies"))).alias("in_core"), far_bytes)
-    kinds = sized(materialize(kinds.select("component", "root", "in_core", F.expr(f"if(bytes is null, 0, {_blocks('bytes')})").alias("strips")), "kinds"))
-    both = placed.join(kinds, "component")
+    kinds, n = counted(kinds.select("component", "root", "in_core", F.expr(f"if(bytes is null, 0, {_blocks('bytes')})").alias("strips")), "kinds")
+    both = placed.join(sized(kinds, rows=n), "component")
     near = both.where("core").select("node", "root", (F.col("in_core") - F.col("copies")).alias("links"))
     both = both.where("strips > 0")
     mine = F.expr("int(pmod(xxhash64(node, 7), strips))")
@@ -370,17 +370,18 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     inside = clusters.join(classes.select("node", "copies", "rep", "n", "sig"), "node")
     blocks = inside.groupBy("component").agg(F.sum(8 * F.col("n") + F.octet_length("sig") + MEMBER_BYTES).alias("bytes")).select("component", F.expr(_blocks("bytes")).alias("blocks"))
-    inside = inside.join(sized(materialize(blocks, "blocks")), "component").withColumn("block", F.expr("int(pmod(xxhash64(node, 5), blocks))"))
-    inside = materialize(inside, "clustered")
+    blocks, n = counted(blocks, "blocks")
+    inside = inside.join(sized(blocks, rows=n), "component").withColumn("block", F.expr("int(pmod(xxhash64(node, 5), blocks))"))
+    inside, n = counted(inside, "clustered")
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"node": p["node"], "shingles": [shingles(t).tobytes() for t in p["text"]]})
 
     keys = inside.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.digest").alias("r_digest"))
-    of = texts.join(sized(keys), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
-    whole = materialize(of.select("node", "text").mapInPandas(sets, "node bigint, shingles binary"), "sets")
-    if whole.count() > inside.count():  # equal rows stand for one class
+    of = texts.join(sized(keys, rows=n), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+    whole, found = counted(of.select("node", "text").mapInPandas(sets, "node bigint, shingles binary"), "sets")
+    if found > n:  # equal rows stand for one class
         whole = whole.dropDuplicates(["node"])
     members = materialize(inside.drop("rep", "n").join(whole, "node").select(*(c.split()[0] for c in MEMBER.split(", "))), "members")
     links = materialize(verified(members, threshold, agree), "links")
@@ -388,7 +389,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     low = groups.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("class_low"))
-    low = sized(materialize(low, "low"))  # one row a group; members stay where they are
+    low, n = counted(low, "low")
+    low = sized(low, rows=n)  # one row a group; members stay where they are
     nodes = classes.select("node", "f1", "f2", "copies", "low").join(degree, "node", "left").join(groups.join(low, "component"), "node", "left")
     nodes = nodes.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_low", "low").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
     nodes = materialize(nodes, "nodes")
@@ -410,20 +412,22 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     links = materialize(jaccard_links(docs, threshold).where("group_id is not null").select("doc_id", "digest", "group_id"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     keepers = links.groupBy("group_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id", "first.doc_id", "first.digest")
-    keepers = materialize(keepers.select("group_id", F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")), "keepers")
-    lost = links.join(sized(keepers), "group_id").where("not (doc_id <=> k_id and digest = k_digest)")
-    lost = materialize(lost.select(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).distinct(), "lost")
-    again = materialize(links.groupBy(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
-    return without(without(docs, lost), again, once=True)
+    keepers, n = counted(keepers.select("group_id", F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")), "keepers")
+    lost = links.join(sized(keepers, rows=n), "group_id").where("not (doc_id <=> k_id and digest = k_digest)")
+    lost, n = counted(lost.select(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).distinct(), "lost")
+    again, m = counted(links.groupBy(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    return without(without(docs, lost, n), again, m, once=True)
 
 
-def without(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+def without(docs: DataFrame, keys: DataFrame, n: int, once: bool = False) -> DataFrame:
     """docs without the rows whose (doc_id, digest of the text) is among keys (a written
-    table with columns l_id, l_digest); if ``once``, with one row for each of them."""
-    k = sized(keys)
+    table of n rows with columns l_id, l_digest); if ``once``, with one row for each of them."""
+    if not n:
+        return docs
+    k = sized(keys, rows=n)
     same = docs["doc_id"].eqNullSafe(k["l_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == k["l_digest"])
     kept = docs.join(k, same, "left_anti")
-    if not once or keys.isEmpty():
+    if not once:
         return kept
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
     one = docs.join(k, same).select(k["l_id"].alias("i"), k["l_digest"].alias("d"), row).groupBy("i", "d").agg(F.first("row").alias("row"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import counted, materialize, sized
 
 LINKED = "node bigint, root bigint, links bigint"
 
@@ -79,27 +79,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for every node
     with an edge to another. Each round points every node to its least neighbour, follows
     pointers eightfold, and contracts the edges; a hub's edges are combined before
-    shuffles, and each round is a written table."""
+    shuffles, and each round is three written tables, counted as they are written."""
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    e = materialize(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while not e.isEmpty():
+    e, left = counted(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
+    rounds: list[tuple[DataFrame, int]] = []
+    while left:
         both = e.select(F.col("a").alias("node"), "b").unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("b")))
-        p = materialize(both.groupBy("node").agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")), "pointers")
-        small = sized(p)
+        p, n = counted(both.groupBy("node").agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to")), "pointers")
+        small = sized(p, rows=n)
         jumped = p
         for _ in range(3):
             step = small.select(F.col("node").alias("to"), F.col("to").alias("next"))
             jumped = jumped.join(step, "to").select("node", F.col("next").alias("to"))
         p = materialize(jumped, "pointers")
-        rounds.append(p)
-        small = sized(p)
+        rounds.append((p, n))
+        small = sized(p, rows=n)
         e = e.join(small.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(small.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        e = materialize(e.select(*pair("x", "y")).where("a <> b").distinct(), "edges")
+        e, left = counted(e.select(*pair("x", "y")).where("a <> b").distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    out = rounds[0]
-    for p in rounds[1:]:
-        step = sized(p).select(F.col("node").alias("to"), F.col("to").alias("next"))
+    out = rounds[0][0]
+    for p, n in rounds[1:]:
+        step = sized(p, rows=n).select(F.col("node").alias("to"), F.col("to").alias("next"))
         out = out.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     return materialize(out.select("node", F.col("to").alias("component")), "components")

@@ -113,3 +113,14 @@ def test_near_duplicates_at_the_threshold_beside_thousands_of_close_copies(spark
     rows, _ = crowded
     kept = sorted(r.doc_id for r in stages.near_duplicates(spark, make(rows), "").select("doc_id").collect())
     assert kept == [0, *range(2500, 2620, 2)]
+
+
+def test_near_duplicates_count_their_tables_as_they_write_them(spark, stages, make, crowded, monkeypatch):
+    """The driver's memory grows with the queries of a session: none is there only to count."""
+    rows, _ = crowded
+    calls, frame = Counter(), type(spark.range(0))
+    for name in ("count", "isEmpty"):
+        monkeypatch.setattr(frame, name, lambda self, name=name, f=getattr(frame, name): calls.update([name]) or f(self))
+    kept = stages.near_duplicates(spark, make([*rows, rows[0], rows[2500]]), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *range(2500, 2620, 2)]
+    assert sum(calls.values()) <= 3
