@@ -3,6 +3,7 @@
 import importlib.util
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -124,3 +125,23 @@ def test_near_duplicates_count_their_tables_as_they_write_them(spark, stages, ma
     kept = stages.near_duplicates(spark, make([*rows, rows[0], rows[2500]]), "")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *range(2500, 2620, 2)]
     assert sum(calls.values()) <= 3
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="no /proc")
+def test_written_tables_return_what_the_driver_has_freed(spark):
+    """The stages write tables by the dozen; native memory that is freed meanwhile must not pile up in the driver."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", status.read_text())[1]) // 1024
+    materialize(spark.range(1))
+    held = jvm.java.util.Vector()
+    for _ in range(2000):  # 125 MB in pieces that the C library takes from a thread's own pool
+        held.add(jvm.java.nio.ByteBuffer.allocateDirect(1 << 16))
+    last = jvm.java.nio.ByteBuffer.allocateDirect(1 << 16)  # above the others, so that these are a hole when freed
+    high = resident()
+    held.removeAllElements()
+    for _ in range(3):
+        jvm.java.lang.System.gc()
+        time.sleep(0.5)
+    materialize(spark.range(1))
+    assert last.capacity() == 1 << 16 and resident() < high - 60
