@@ -15,6 +15,10 @@ from .written import materialize
 
 #: monotonically_increasing_id holds the partition above this many bits of a row's place.
 PLACE_BITS = 33
+#: The counts of this many files, a path and two numbers each, are broadcast at most.
+BROADCAST_FILES = 1 << 16
+#: Rows of a file that are joined together to the count of the files before, beyond that.
+BLOCK_ROWS = 1 << 17
 
 
 def with_pos(df: DataFrame, key: str | None = None, order: list[str] | None = None, name: str = "pos") -> DataFrame:
@@ -30,11 +34,18 @@ def with_pos(df: DataFrame, key: str | None = None, order: list[str] | None = No
 def with_file_pos(df: DataFrame, name: str = "pos") -> DataFrame:
     """df, a scan of files, with each row's position in the order of files: the index
     in its file plus the rows of the files before. No row is shuffled; one count per
-    file is."""
-    at = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("index_"))
-    sizes = df.select(F.col("_metadata.file_path").alias("file_")).groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))
-    before = sizes.select("file_", (F.sum("rows_").over(Window.orderBy("file_")) - F.col("rows_")).alias("before_"))
-    return at.join(before, "file_").withColumn(name, F.col("before_") + F.col("index_")).drop("file_", "index_", "before_")
+    file is, and broadcast. Tables of over BROADCAST_FILES files are joined to their counts by
+    file and block of rows instead, so that the rows of a file never meet in one task."""
+    path = F.col("_metadata.file_path").alias("file_")
+    at = df.select("*", path, F.col("_metadata.row_index").alias("index_"))
+    sizes = df.select(path).groupBy("file_").agg(F.count(F.lit(1)).alias("rows_"))
+    before = sizes.select("file_", "rows_", (F.sum("rows_").over(Window.orderBy("file_")) - F.col("rows_")).alias("before_"))
+    if len(df._jdf.inputFiles()) <= BROADCAST_FILES:
+        placed = at.join(F.broadcast(before), "file_")
+    else:
+        blocks = before.withColumn("block_", F.explode(F.expr(f"sequence(0L, (rows_ - 1) div {BLOCK_ROWS})")))
+        placed = at.withColumn("block_", F.expr(f"index_ div {BLOCK_ROWS}")).join(blocks, ["file_", "block_"])
+    return placed.withColumn(name, F.col("before_") + F.col("index_")).drop("file_", "index_", "block_", "rows_", "before_")
 
 
 def ordering(keys: list[tuple[str, bool]]) -> list[Column]:
