@@ -60,7 +60,7 @@ def test_rows_of_a_file_stay_apart(large, tmp_path, monkeypatch, broadcast):
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no sample tables")
-@pytest.mark.parametrize("name", ["multi_sort", "join_miss", "join_unique"])
+@pytest.mark.parametrize("name", ["multi_sort", "join_miss", "join_unique", "range_scan"])
 def test_no_task_reads_a_whole_table(large, tmp_path, name):
     for t in ("lineitem", "orders"):
         pq.write_table(pq.read_table(SMALL / f"{t}.parquet"), tmp_path / f"{t}.parquet", row_group_size=500)
